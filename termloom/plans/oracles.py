@@ -107,3 +107,46 @@ SELECT t.idx, t.run_id, {", ".join(f"coalesce(col_{k}, 0)::INT AS col_{k}" for k
 
 
 ORACLES["csf_descriptors"] = _csf_raw_cells()
+
+
+CELLS = [f"col_{k}" for k in range(87)]
+_J = "(?:[0-9]*[13579]/2|[0-9]+)"
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_SPLIT = f"""cut AS (SELECT raw_id, CASE WHEN raw_text LIKE '%' || chr(13) THEN raw_text[:-2] ELSE raw_text END AS t FROM csf_raw),
+parts AS (SELECT raw_id, t, regexp_full_match(t, '(?s){_FIELD}(?:,{_FIELD}){{4}}') AS shaped,
+ regexp_extract(t, '(?s)^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', ['a', 'b', 'c', 'd', 'e']) AS f FROM cut),
+plain AS (SELECT raw_id, coalesce(shaped, false) AS shaped, {", ".join(f"CASE WHEN f.{k} LIKE '{chr(34)}%' THEN replace(f.{k}[2:-2], '{chr(34) * 2}', '{chr(34)}') ELSE f.{k} END AS {n}" for k, n in zip("abcde", ("idx", "l1", "l2", "l3", "note")))} FROM parts),
+allowed AS (SELECT '(?:' || string_agg(k, '|') || ')+' AS pattern FROM (
+ SELECT lpad(rtrim(subshell, '-'), 4, ' ') || CASE WHEN subshell LIKE '%-' THEN '-' ELSE ' ' END || '\\((?:' ||
+  (SELECT string_agg(lpad(i::VARCHAR, 2, ' '), '|') FROM range(1, m.g::BIGINT + 1) r(i)) || ')\\)' AS k
+ FROM peel p JOIN subshell_meta m ON rpad(ltrim(p.subshell, '0123456789'), 2, ' ') = m.angular)),
+judged AS (SELECT *, shaped AND regexp_full_match(idx, '[0-9]+') AND strlen(l1 || l2 || l3) = length(l1 || l2 || l3) AND NOT contains(l1 || l2 || l3, chr(9))
+ AND regexp_full_match(l1, pattern) AND length(l2) <= length(l1)
+ AND len(list_filter(range(0, (length(l2) + 8) // 9), lambda i: NOT regexp_full_match(trim(substr(l2, 9 * i::INT + 1, 9), ' '), '|{_J}|[0-9]+; *{_J}'))) = 0
+ AND length(l3) = length(l1) + 2 AND regexp_full_match(l3[-1:], '[+-]') AND regexp_full_match(trim(l3[-5:-2], ' '), '{_J}')
+ AND len(list_filter(range(0, (greatest(length(l3) - 9, 0) + 8) // 9), lambda i: NOT regexp_full_match(trim(substr(substr(l3, 5, greatest(length(l3) - 9, 0)), 9 * i::INT + 1, 9), ' '), '|{_J}'))) = 0 AS valid
+ FROM plain, allowed)"""
+
+ORACLES["p1_found"] = f"WITH {_SPLIT} SELECT raw_id FROM judged WHERE NOT coalesce(valid, false)"
+ORACLES["p1_loaded"] = f"""WITH {_SPLIT} SELECT j.raw_id, r.file_id, r.received_at, try_cast(idx AS BIGINT) AS idx, l1 AS line1, l2 AS line2, l3 AS line3, note
+FROM judged j JOIN csf_raw r USING (raw_id) WHERE valid"""
+_P4 = f"""WITH a AS (SELECT DISTINCT idx, {", ".join(CELLS)} FROM descriptor_raw), b AS (SELECT DISTINCT idx, {", ".join(CELLS)} FROM descriptor_copy),
+j AS (SELECT a.idx AS ia, b.idx AS ib, {", ".join(f"a.{c} IS DISTINCT FROM b.{c} AS {c}" for c in CELLS)} FROM a FULL JOIN b ON a.idx = b.idx),
+found AS (SELECT ia AS idx, 'only_raw' AS field FROM j WHERE ib IS NULL UNION ALL SELECT ib, 'only_copy' FROM j WHERE ia IS NULL
+ UNION ALL SELECT ia, field FROM (UNPIVOT (SELECT * FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL) ON {", ".join(CELLS)} INTO NAME field VALUE d) WHERE d)"""
+ORACLES["p4_found"] = _P4 + " SELECT idx, field FROM found"
+ORACLES["p4_summary"] = _P4 + " SELECT field, count(*)::BIGINT AS n_idx FROM found GROUP BY 1"
+_G = "(SELECT p.pos, m.g FROM peel p JOIN subshell_meta m ON rpad(ltrim(p.subshell, '0123456789'), 2, ' ') = m.angular)"
+_LONG = f"""long AS (SELECT load_id, field, value FROM (SELECT load_id, {", ".join(CELLS)} FROM descriptor_raw) UNPIVOT INCLUDE NULLS (value FOR field IN ({", ".join(CELLS)}))),
+lim AS (SELECT 'col_' || (3 * pos + k) AS field, (3 * pos + k) AS k, CASE WHEN k = 0 THEN g ELSE 80 END AS high FROM {_G}, (VALUES (0), (1), (2)) o(k))"""
+ORACLES["p5_found"] = f"""WITH {_LONG},
+r AS (SELECT load_id, l.field, k, value, value BETWEEN 0 AND high AS ok FROM long l JOIN lim ON l.field = lim.field),
+m AS (SELECT load_id, field, k, avg((value IS NULL)::INT) AS nulls, max((value IS NOT NULL AND NOT ok)::INT) AS bad, avg(value) FILTER (ok) AS mean FROM r GROUP BY 1, 2, 3),
+t AS (SELECT field, median(mean) AS typical FROM m GROUP BY 1), d AS (SELECT field, stddev_pop(value) FILTER (ok) AS sd FROM r GROUP BY 1),
+odd AS ({" UNION ALL ".join(f"SELECT DISTINCT load_id, 'col_{3 * i + 1}' AS field FROM descriptor_raw WHERE col_{3 * i} BETWEEN 0 AND (SELECT g FROM {_G} WHERE pos = {i}) AND col_{3 * i + 1} BETWEEN 0 AND 80 AND col_{3 * i} % 2 <> col_{3 * i + 1} % 2" for i in range(29))})
+SELECT load_id, field FROM m JOIN t USING (field) JOIN d USING (field) WHERE nulls > 0.05 OR bad = 1 OR (k < 30 AND abs(mean - typical) > 0.5 * sd) UNION SELECT load_id, field FROM odd"""
+ORACLES["p5_profile"] = f"""WITH {_LONG},
+c AS (SELECT load_id, l.field, value, high, count(*) AS n FROM long l JOIN lim ON l.field = lim.field GROUP BY ALL),
+s AS (SELECT *, sum(n) FILTER (value IS NOT NULL) OVER (PARTITION BY load_id, field) AS tot FROM c)
+SELECT load_id, field, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (value IS NULL), 0)::BIGINT AS nulls, count(value)::BIGINT AS distinct_values, min(value)::BIGINT AS min_value, max(value)::BIGINT AS max_value,
+ coalesce(sum(n) FILTER (value < 0 OR value > high), 0)::BIGINT AS out_of_range, round(-sum(CASE WHEN value IS NOT NULL THEN n / tot * log2(n / tot) END), 6) + 0.0 AS entropy FROM s GROUP BY 1, 2"""

@@ -12,8 +12,12 @@ from termloom.functions import angular_label, capacity, is_ascii, is_too_long, k
 from termloom.operators import compare
 from termloom.operators.normalize import bounds_long, target_two_j
 from termloom.operators.parse import Peel, raw_descriptor, unknown_blocks
+from termloom.operators.profile import ValueCounts, delta, metrics, parity_fields, spoiled_columns, triplet_limits
+from termloom.operators.reconcile import reconcile
+from termloom.operators.rejects import load_records, reason_counts, rejected_records, valid_records
 from termloom.plans.describe import describe_frame
-from termloom.session import checked_rows
+from termloom.schema import CAPACITY, capacity_of
+from termloom.session import checked_rows, shared_dir
 from termloom.sources.header import peel_tokens
 from termloom.sources.parquet_info import get_parquet_info
 
@@ -242,7 +246,71 @@ def csf_descriptor_range(spark: SparkSession, sf: str) -> DataFrame:
     return compare.range_report(csf_descriptors_normalized(spark, sf))
 
 
+def csf_records(spark: SparkSession, sf: str) -> DataFrame:
+    """csf_raw loaded by the rejects operator; the DuckDB work is spread over all cores."""
+    raw = table(spark, sf, "csf_raw")
+    return load_records(raw.repartition(spark.sparkContext.defaultParallelism * 2, "raw_id"), peel_of(spark, sf), CAPACITY)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return rejected_records(csf_records(spark, sf)).select("raw_id")
+
+
+def p1_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    return valid_records(csf_records(spark, sf)).select("raw_id", "file_id", "received_at", "idx", "line1", "line2", "line3", "note")
+
+
+def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return reason_counts(csf_records(spark, sf), ["file_id"])
+
+
+CELLS = [f"col_{k}" for k in range(87)]
+ROWS_PER_BUCKET = 256
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets of some 256 keys by the row count in the footers, so that their differences stay few at any size."""
+    a, b = table(spark, sf, "descriptor_raw"), table(spark, sf, "descriptor_copy")
+    buckets = max(1, a.count() // ROWS_PER_BUCKET)
+    return reconcile(a, b, "idx", CELLS, buckets, labels=("only_raw", "only_copy"))
+
+
+def p4_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_found(spark, sf).groupBy("field").agg(F.count(F.lit(1)).alias("n_idx"))
+
+
+def _capacities(spark: SparkSession, sf: str) -> list[int | None]:
+    return [capacity_of(p) for p in peel_of(spark, sf)]
+
+
+def descriptor_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Persistent value counts of descriptor_raw in the shared folder, with the parity pattern as derived fields."""
+    import os
+    import uuid
+
+    at = f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
+    os.makedirs(at.removeprefix("file://").removeprefix("file:"), exist_ok=True)
+    return ValueCounts(spark, at).apply(delta(table(spark, sf, "descriptor_raw"), CELLS, derived=parity_fields(_capacities(spark, sf))))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spoiled_columns(descriptor_state(spark, sf), _capacities(spark, sf)).select("load_id", "field")
+
+
+def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of every column and load: rows, nulls, distinct values, range and entropy."""
+    m = metrics(descriptor_state(spark, sf).where(F.col("field").startswith("col_")), triplet_limits(spark, _capacities(spark, sf)))
+    return m.select("load_id", "field", "rows", "nulls", "distinct_values", "min_value", "max_value", "out_of_range", F.round("entropy", 6).alias("entropy"))
+
+
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_loaded": p1_loaded,
+    "p1_reasons": p1_reasons,
+    "p4_found": p4_found,
+    "p4_summary": p4_summary,
+    "p5_found": p5_found,
+    "p5_profile": p5_profile,
     "normalized_order_descriptors": normalized_order_descriptors,
     "raw_order_descriptors": raw_order_descriptors,
     "column_engine_descriptors": column_engine_descriptors,
