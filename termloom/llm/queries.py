@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import tokens
+from termloom.llm import leakage, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,9 +25,25 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(sizes, "doc_id").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and items with a passage alike in at least 0.8 of its words."""
+    return leakage.overlaps(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
+    "p9_found": p9_found,
+    "p9_overlaps": p9_overlaps,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+_WINDOWS = "SELECT {k}, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT {k}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {k}, regexp_extract_all(lower({t}), '[a-z0-9]+') AS w FROM {f}))"
+
+LLM_ORACLES: dict[str, str] = {
+    "p9_found": f"""WITH d AS ({_WINDOWS.format(k="doc_id", t="text", f="documents")}), e AS ({_WINDOWS.format(k="item_id", t="question", f="eval_items")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (win)""",
+}
