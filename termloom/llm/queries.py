@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import leakage, tokens
+from termloom.llm import leakage, neighbors, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,7 +34,15 @@ def p9_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.overlaps(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+CELLS = [f"col_{k}" for k in range(87)]
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.neighbour_pairs(table(spark, sf, "descriptor_norm"), "idx", CELLS, 3, 0.1)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_found": p9_found,
@@ -43,7 +51,12 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WINDOWS = "SELECT {k}, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT {k}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {k}, regexp_extract_all(lower({t}), '[a-z0-9]+') AS w FROM {f}))"
 
+_V = "v AS (SELECT DISTINCT idx, [" + ", ".join(f"col_{k}::DOUBLE" for k in range(87)) + "] AS x FROM descriptor_norm WHERE greatest(" + ", ".join(f"col_{k}" for k in range(87)) + ") > 0)"
+
 LLM_ORACLES: dict[str, str] = {
+    "p7_found": f"""WITH {_V}, p AS (SELECT a.idx AS i, b.idx AS j, list_distance(a.x, b.x) AS d FROM v a, v b WHERE a.idx <> b.idx),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p WHERE d <= 0.1)
+SELECT DISTINCT least(i, j) AS idx_a, greatest(i, j) AS idx_b FROM r WHERE k <= 3""",
     "p9_found": f"""WITH d AS ({_WINDOWS.format(k="doc_id", t="text", f="documents")}), e AS ({_WINDOWS.format(k="item_id", t="question", f="eval_items")})
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (win)""",
 }
