@@ -66,22 +66,31 @@ def points(m: int) -> np.ndarray:
     return mul(k * np.uint64(0x9E3779B9), np.full(m, 0x1234567890ABCDE, np.uint64)) | np.uint64(1)
 
 
-def products(values: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """prod over ``values`` of (z_j - value), for each point."""
-    rows = sub(z[None, :], values[:, None])
-    while len(rows) > 1:
-        if len(rows) % 2:
-            rows = np.concatenate([rows, np.ones((1, rows.shape[1]), np.uint64)])
-        rows = mul(rows[0::2], rows[1::2])
-    return rows[0] if len(rows) else np.ones(len(z), np.uint64)
-
-
-def evaluate(coefficients: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Polynomial with ascending coefficients at each x."""
+def products(values: np.ndarray, bucket: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, their sizes, and per bucket prod over its values of (z_j - value) for each point.
+
+    Neighbours of one bucket are multiplied in rounds, for all buckets at once.
+    """
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], sub(z[None, :], values[order][:, None])
+    names, size = np.unique(bucket, return_counts=True)
+    while len(bucket) > len(names):
+        first = np.searchsorted(bucket, names)
+        place = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+        left = np.flatnonzero(place % 2 == 0)
+        paired = (left + 1 < len(bucket)) & (bucket[np.minimum(left + 1, len(bucket) - 1)] == bucket[left])
+        out = rows[left]
+        out[paired] = mul(out[paired], rows[left[paired] + 1])
+        bucket, rows = bucket[left], out
+    return names, size, rows
+
+
+def vanishes(coefficients: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each x is a zero of its own polynomial (rows of ascending coefficients)."""
     out = np.zeros_like(x)
-    for c in coefficients[::-1]:
-        out = add(mul(out, x), np.full_like(x, c))
-    return out
+    for k in range(coefficients.shape[1] - 1, -1, -1):
+        out = add(mul(out, x), coefficients[:, k])
+    return out == 0
 
 
 def solve(a: np.ndarray) -> np.ndarray:
@@ -164,10 +173,9 @@ def sketch(items: DataFrame, side: str, m: int) -> DataFrame:
         size: dict[int, int] = {}
         value: dict[int, np.ndarray] = {}
         for f in frames:
-            for b, group in f.groupby("bucket")["x"]:
-                v = products(group.to_numpy().astype(np.uint64), z)
+            for b, n, v in zip(*products(f["x"].to_numpy().astype(np.uint64), f["bucket"].to_numpy(), z)):
                 value[b] = mul(value[b], v) if b in value else v
-                size[b] = size.get(b, 0) + len(group)
+                size[b] = size.get(b, 0) + int(n)
         if size:
             yield pd.DataFrame({"bucket": list(size), "side": side, "size": list(size.values()), "vals": [value[b].astype(np.int64) for b in size]})
 
@@ -210,17 +218,18 @@ def _roots(items: DataFrame, solved: DataFrame, which: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for _, g in f.groupby("bucket"):
-                x = g["x"].to_numpy().astype(np.uint64)
-                keep.append(g.loc[evaluate(np.asarray(g["poly"].iloc[0], np.int64).astype(np.uint64), x) == 0, ["bucket", "x"]])
-            if keep:
-                yield pd.concat(keep)
+            degree = f["poly"].map(len).to_numpy()
+            hit = np.zeros(len(f), bool)
+            for n in np.unique(degree):
+                at = np.flatnonzero(degree == n)
+                polynomials = np.stack(f["poly"].iloc[at].to_list()).astype(np.uint64)
+                hit[at] = vanishes(polynomials, f["x"].to_numpy()[at].astype(np.uint64))
+            yield f.loc[hit, ["bucket", "x"]]
 
     return items.join(solved.where("ok").select("bucket", F.col(which).alias("poly")), "bucket").mapInPandas(run, "bucket int, x long")
 
 
-def differing(a: DataFrame, b: DataFrame, buckets: int, first_bound: int = 16, chunk: int = 32) -> tuple[DataFrame, DataFrame]:
+def differing(a: DataFrame, b: DataFrame, buckets: int, first_bound: int = 16, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
     """Elements of ``a`` only and of ``b`` only. Loops while buckets are unsolved, with twice the bound each time.
 
     A bound of at least the bucket's whole size always solves it, so the loop ends; only the count of open
