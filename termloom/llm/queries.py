@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import leakage, neighbors, tokens
+from termloom.llm import leakage, mojibake, neighbors, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,12 +41,32 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbour_pairs(table(spark, sf, "descriptor_norm"), "idx", CELLS, 3, 0.1)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model, _ = mojibake.learn(docs)
+    return mojibake.garbled(docs, model).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model, _ = mojibake.learn(docs)
+    return mojibake.restored(docs, model)
+
+
+def p10_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Which swaps each source shows, and how often."""
+    return mojibake.learned_tables(mojibake.learn(table(spark, sf, "documents"))[1])
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_found": p9_found,
     "p9_overlaps": p9_overlaps,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+    "p10_swaps": p10_swaps,
 }
 
 _WINDOWS = "SELECT {k}, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT {k}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {k}, regexp_extract_all(lower({t}), '[a-z0-9]+') AS w FROM {f}))"
