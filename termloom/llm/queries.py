@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import leakage, mojibake, neighbors, tokens
+from termloom.llm import leakage, mojibake, neighbors, tokens, truncation, varied
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def p9_overlaps(spark: SparkSession, sf: str) -> DataFrame:
 CELLS = [f"col_{k}" for k in range(87)]
 
 
+def p3_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    return varied.varied_subsets(table(spark, sf, "descriptor_norm"), "idx", CELLS, (20, 200, 2000), table(spark, sf, "csf_table").select("idx"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.damaged_keys(table(spark, sf, "csf_table"))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.source_report(table(spark, sf, "csf_table"), table(spark, sf, "conversion_stats"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbour_pairs(table(spark, sf, "descriptor_norm"), "idx", CELLS, 3, 0.1)
 
@@ -59,6 +71,9 @@ def p10_swaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_subsets": p3_subsets,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
@@ -73,7 +88,18 @@ _WINDOWS = "SELECT {k}, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT {k
 
 _V = "v AS (SELECT DISTINCT idx, [" + ", ".join(f"col_{k}::DOUBLE" for k in range(87)) + "] AS x FROM descriptor_norm WHERE greatest(" + ", ".join(f"col_{k}" for k in range(87)) + ") > 0)"
 
+_LINES = """t AS (SELECT idx, file_id, rtrim(line1, ' ') AS a FROM csf_table WHERE line1 IS NOT NULL),
+b AS (SELECT *, regexp_full_match(a, '(?:[ 0-9]{2}[0-9][a-z][- ]\\([ 0-9][0-9]\\))+') AS whole,
+ coalesce(list_sum(list_transform(regexp_extract_all(a, '\\(([ 0-9][0-9])\\)', 1), lambda x: trim(x)::INT)), 0) AS held FROM t),
+u AS (SELECT file_id, max(held) AS usual FROM b WHERE whole GROUP BY 1),
+j AS (SELECT b.*, NOT whole OR held < usual AS damaged FROM b JOIN u ON b.file_id = u.file_id)"""
+
 LLM_ORACLES: dict[str, str] = {
+    "p6_found": f"WITH {_LINES} SELECT DISTINCT idx FROM j WHERE damaged",
+    "p6_report": f"""WITH {_LINES}, k AS (SELECT file_id, idx, max(damaged::INT) AS d FROM j GROUP BY 1, 2),
+n AS (SELECT file_id, arg_max_null(truncated_count, run_id) AS noted_truncated, arg_max_null(max_line_len, run_id) AS max_line_len FROM conversion_stats GROUP BY 1)
+SELECT k.file_id, count(*)::BIGINT AS records, sum(d)::BIGINT AS damaged, sum(d) / count(*) AS share, any_value(noted_truncated) AS noted_truncated, any_value(max_line_len) AS max_line_len
+FROM k LEFT JOIN n ON k.file_id = n.file_id GROUP BY 1""",
     "p7_found": f"""WITH {_V}, p AS (SELECT a.idx AS i, b.idx AS j, list_distance(a.x, b.x) AS d FROM v a, v b WHERE a.idx <> b.idx),
 r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p WHERE d <= 0.1)
 SELECT DISTINCT least(i, j) AS idx_a, greatest(i, j) AS idx_b FROM r WHERE k <= 3""",
