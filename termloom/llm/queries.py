@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import leakage, mojibake, neighbors, tokens, truncation, varied
+from termloom.llm import clusters, leakage, mojibake, neighbors, tokens, truncation, varied
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def p9_overlaps(spark: SparkSession, sf: str) -> DataFrame:
 CELLS = [f"col_{k}" for k in range(87)]
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.groups_at(table(spark, sf, "descriptor_norm"), "idx", CELLS, 0.1)
+
+
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Stable clusters with size, stability and most typical idx values."""
+    return clusters.clusters(table(spark, sf, "descriptor_norm"), "idx", CELLS, 0.1)
+
+
 def p3_subsets(spark: SparkSession, sf: str) -> DataFrame:
     return varied.varied_subsets(table(spark, sf, "descriptor_norm"), "idx", CELLS, (20, 200, 2000), table(spark, sf, "csf_table").select("idx"))
 
@@ -71,6 +80,8 @@ def p10_swaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_subsets": p3_subsets,
     "p6_found": p6_found,
     "p6_report": p6_report,
@@ -100,6 +111,8 @@ LLM_ORACLES: dict[str, str] = {
 n AS (SELECT file_id, arg_max_null(truncated_count, run_id) AS noted_truncated, arg_max_null(max_line_len, run_id) AS max_line_len FROM conversion_stats GROUP BY 1)
 SELECT k.file_id, count(*)::BIGINT AS records, sum(d)::BIGINT AS damaged, sum(d) / count(*) AS share, any_value(noted_truncated) AS noted_truncated, any_value(max_line_len) AS max_line_len
 FROM k LEFT JOIN n ON k.file_id = n.file_id GROUP BY 1""",
+    "p2_found": f"""WITH {_V}, g AS (SELECT a.idx AS idx_b, min(b.idx) AS idx_a FROM v a, v b WHERE list_distance(a.x, b.x) <= 0.1 GROUP BY 1)
+SELECT idx_a, idx_b FROM g WHERE idx_a < idx_b""",
     "p7_found": f"""WITH {_V}, p AS (SELECT a.idx AS i, b.idx AS j, list_distance(a.x, b.x) AS d FROM v a, v b WHERE a.idx <> b.idx),
 r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p WHERE d <= 0.1)
 SELECT DISTINCT least(i, j) AS idx_a, greatest(i, j) AS idx_b FROM r WHERE k <= 3""",
