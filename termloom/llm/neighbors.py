@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from termloom.session import written
 
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 LIST_ROWS = 8_192
 MAX_LISTS = 4_096
 BLOCK_ROWS = 16_384
@@ -111,14 +111,16 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     lists = int(np.clip(-(-rows // LIST_ROWS), 1, min(MAX_LISTS, max(1, len(x) // 8))))
     centroids = bisected(x, lists)
     first = min(FIRST_DIMENSIONS, width)
-    q = x[:: max(1, len(x) // 1000)]
-    share = 1.0
+    share, ratios = 1.0, []
     if len(x) > 10 and first < width:
-        d = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T
-        near = np.argsort(d, 1)[:, 1:4]
-        diff = (q[:, None, :] - x[near]) @ rotation
-        whole = (diff**2).sum(2)
-        ratio = (diff[..., :first] ** 2).sum(2)[whole > 0] / whole[whole > 0]
+        queries, norm = x[:: max(1, len(x) // 1000)], (x**2).sum(1)
+        for s in range(0, len(queries), 50):
+            q = queries[s : s + 50]
+            near = np.argpartition(norm - 2 * q @ x.T, 4, 1)[:, :4]
+            diff = (q[:, None, :] - x[near]) @ rotation
+            whole = (diff**2).sum(2)
+            ratios.append((diff[..., :first] ** 2).sum(2)[whole > 0] / whole[whole > 0])
+        ratio = np.concatenate(ratios)
         if len(ratio):
             share = float(min(1.0, np.quantile(ratio, 1 - ABANDON_LEVEL)))
     return Index(rotation, centroids, first, share)
