@@ -55,10 +55,14 @@ def _diffs(cols: list[str]) -> list[Column]:
 
 
 def column_differences(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(column, max_abs_diff) of every cell column, in one pass over the joined tables."""
+    """(column, max_abs_diff) of every cell column, in one pass over the joined tables; no rows give no columns.
+
+    The differences are laid out long and combined before the shuffle: one aggregate over many columns would
+    leave generated code.
+    """
     cols = cells_of(old)
-    wide = paired(old, new).agg(*[F.coalesce(F.max(d), F.lit(0.0)).alias(c) for c, d in zip(cols, _diffs(cols))])
-    return wide.unpivot([], cols, "column", "max_abs_diff")
+    long = F.array(*[F.struct(F.lit(c).alias("column"), d.alias("d")) for c, d in zip(cols, _diffs(cols))])
+    return paired(old, new).select(F.inline(long)).groupBy("column").agg(F.max("d").alias("max_abs_diff"))
 
 
 def changed_columns(old: DataFrame, new: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
