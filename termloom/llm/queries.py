@@ -95,7 +95,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_swaps": p10_swaps,
 }
 
-_WINDOWS = "SELECT {k}, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT {k}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {k}, regexp_extract_all(lower({t}), '[a-z0-9]+') AS w FROM {f}))"
+_WINDOWS = (
+    "SELECT {k}, win FROM (SELECT {k}, concat_ws(' ', x, " + ", ".join(f"lead(x, {n}) OVER w" for n in range(1, 13)) + ") AS win, lead(x, 12) OVER w AS last FROM "
+    "(SELECT {k}, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM (SELECT {k}, regexp_extract_all(lower({t}), '[a-z0-9]+') AS words FROM {f})) "
+    "WINDOW w AS (PARTITION BY {k} ORDER BY i)) WHERE last IS NOT NULL"
+)
 
 _V = "v AS (SELECT DISTINCT idx, [" + ", ".join(f"col_{k}::DOUBLE" for k in range(87)) + "] AS x FROM descriptor_norm WHERE greatest(" + ", ".join(f"col_{k}" for k in range(87)) + ") > 0)"
 
