@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS = 2_000_000
-TABLE_PIECES = 1_500_000
+TABLE_PIECES = 500_000
 TABLE_BYTES = 20
 
 # The contractions that the pre-token pattern splits off.
