@@ -38,7 +38,7 @@ LONE_MARGIN = 2.5
 ROUNDS = 3
 MEMO = 200_000
 _CUT = re.compile(r"[\x00-@\[-`{-\x7f]+")
-_BLANKS = str.maketrans("\n\t\r\x0b\x0c", "     ")
+_BLANKS = "\n\t\r\x0b\x0c"
 _BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
@@ -124,7 +124,9 @@ def tokens_of(text: str) -> list[str]:
     if text.isascii():
         return []
     out: list[str] = []
-    for word in text.translate(_BLANKS).split(" "):
+    for blank in _BLANKS:
+        text = text.replace(blank, " ")
+    for word in text.split(" "):
         if not word.isascii():
             out += [p for p in _CUT.split(word) if not p.isascii()]
     return out
