@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 LIST_ROWS = 8_192
 MAX_LISTS = 4_096
 BLOCK_ROWS = 16_384
-QUERY_TILE, CANDIDATE_TILE, SEED_ROWS = 512, 4_096, 1_024
+QUERY_TILE, CANDIDATE_TILE, SEED_ROWS = 256, 2_048, 1_024
 PAIRS = 200_000
 FIRST_DIMENSIONS = 24
 ABANDON_LEVEL = 1e-3
@@ -176,16 +176,19 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
     qr, cr = ((q - centre) @ first).astype(np.float32), ((c - centre) @ first).astype(np.float32)
     qn, cn = (qr**2).sum(1), (cr**2).sum(1)
     slack = 4e-6 * float(max(qn.max(), cn.max()))
+    # one product gives the partial distances: (-2q, 1, |q|^2) by (c, |c|^2, 1)
+    qa = np.column_stack([-2 * qr, np.ones(len(q), np.float32), qn])
+    ca = np.column_stack([cr, cn, np.ones(len(c), np.float32)])
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
     spans = [(0, min(SEED_ROWS, len(c)))] + [(s, min(s + CANDIDATE_TILE, len(c))) for s in range(SEED_ROWS, len(c), CANDIDATE_TILE)]
     for t in range(0, len(q), QUERY_TILE):
         rows = slice(t, min(t + QUERY_TILE, len(q)))
         for s, e in spans:
-            partial = qn[rows, None] + cn[None, s:e] - 2 * (qr[rows] @ cr[s:e].T)
+            partial = qa[rows] @ ca[s:e].T
             limits = best.limit[rows]
             # ids ascend, so once the k-th hit is at distance 0 no later candidate can come before it
             bound = np.where((best.d[rows, -1] == 0), -1.0, index.share * limits + slack).astype(np.float32)
-            hit_q, hit_c = np.nonzero(partial <= bound[:, None])
+            hit_q, hit_c = np.divmod(np.flatnonzero(partial <= bound[:, None]), e - s)
             for p in range(0, len(hit_q), PAIRS):
                 a, b = hit_q[p : p + PAIRS] + t, hit_c[p : p + PAIRS] + s
                 other = qg[a] != cg[b]
