@@ -272,41 +272,174 @@ def condensed(a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: dict[int, int
     return out
 
 
+SLICED = "root long, slice int, x long, y long, w double, a long, b long, wa long, wb long, la int, lb int"
+PIECES = "root long, slice int, frag long, piece int, parent int, birth double, gain double, n long, node long, last int, leaving double"
+CHOSEN = "root long, slice int, frag long, piece int, cluster long, stability double"
+
+
+def _contracted(edges: DataFrame, lo: int, hi: int) -> list[DataFrame]:
+    """Edges (SLICED) of the slices lo..hi-1, each slice with what all lighter slices join contracted to one node.
+
+    A node is named by its least row; it comes with its rows and the last slice in which it grew (-1: a single row).
+    """
+    if hi - lo <= 1:
+        return [edges]
+    mid = (lo + hi) // 2
+    low, high = edges.where(F.col("slice") < mid), edges.where(F.col("slice") >= mid)
+    _, labels = boruvka(low.select("a", "b", "w"))
+    nodes = low.select(F.col("a").alias("node"), F.col("wa").alias("n"), "slice").unionByName(low.select(F.col("b").alias("node"), F.col("wb").alias("n"), "slice"))
+    nodes = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("slice").alias("last")).join(labels, "node")
+    named = nodes.groupBy("root").agg(F.min("node").alias("name"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    new = written(labels.join(named, "root").select("node", "name", "n", "last"), "p2-contracted")
+    for x in "ab":
+        high = high.join(new.withColumnsRenamed({"node": x, "name": f"n{x}"}), x, "left")
+        high = high.withColumns({x: F.coalesce(f"n{x}", x), f"w{x}": F.coalesce("n", f"w{x}"), f"l{x}": F.coalesce("last", f"l{x}")}).drop(f"n{x}", "n", "last")
+    return _contracted(low, lo, mid) + _contracted(written(high.select(*edges.columns), "p2-slices"), mid, hi)
+
+
+def _pieces(f: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The condensed hierarchy of one slice of a tree, in pieces (PIECES).
+
+    Rows with a null node are pieces of clusters: piece 0 of a fragment goes on from the slice above, and its gain
+    counts from its own birth, the fragment's heaviest edge. The other rows are the leaves: where they fall out of
+    a piece (``leaving``), or go on in a fragment of a lighter slice (``leaving`` null). Fragments of fewer than
+    ``least`` rows have piece -1 only.
+    """
+    f = f.sort_values(["w", "x", "y"])
+    names, at = np.unique(np.concatenate([f["a"], f["b"]]), return_inverse=True)
+    n = len(names)
+    size, low = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+    last = np.full(n, -1)
+    size[at], last[at], low[:n] = np.concatenate([f["wa"], f["wb"]]), np.concatenate([f["la"], f["lb"]]), names
+    left, right, level = np.full(2 * n, -1), np.full(2 * n, -1), np.zeros(2 * n)
+    top, union, nxt = np.arange(n), np.arange(n), n
+    for u, v, d in zip(at[: len(f)].tolist(), at[len(f) :].tolist(), f["w"].tolist()):
+        u, v = _find(union, u), _find(union, v)
+        l, r = top[u], top[v]
+        left[nxt], right[nxt], level[nxt] = l, r, d
+        size[nxt], low[nxt] = size[l] + size[r], min(low[l], low[r])
+        union[v] = u
+        top[u] = nxt
+        nxt += 1
+    out: list[tuple] = []
+    for tree in sorted({int(top[_find(union, i)]) for i in range(n)}):
+        frag = int(low[tree])
+        inv = 1.0 / max(level[tree], 1e-12)
+        held = [[-1, inv, 0.0, 0]]  # parent, birth, gain, rows
+        todo = [(tree, 0 if size[tree] >= least else -1, 0.0 if size[tree] < least else None)]
+        while todo:
+            node, c, leaving = todo.pop()
+            if node < n:
+                if leaving is None and last[node] < 0:
+                    leaving = 0.0
+                out.append((frag, c, None, None, None, None, int(names[node]), int(last[node]), leaving))
+                continue
+            sides = [int(left[node]), int(right[node])]
+            if leaving is not None:
+                todo += [(s, c, leaving) for s in sides]
+                continue
+            inv = 1.0 / max(level[node], 1e-12)
+            if all(size[s] >= least for s in sides):
+                held[c][2] += (inv - held[c][1]) * size[node]
+                held[c][3] += int(size[node])
+                for s in sides:
+                    held.append([c, inv, 0.0, 0])
+                    todo.append((s, len(held) - 1, None))
+                continue
+            for s in sides:
+                if size[s] < least:  # falls out of the cluster here
+                    held[c][2] += (inv - held[c][1]) * size[s]
+                    held[c][3] += int(size[s])
+                todo.append((s, c, None if size[s] >= least else inv))
+        if size[tree] >= least:
+            out += [(frag, i, *h, None, None, None) for i, h in enumerate(held)]
+    got = pd.DataFrame(out, columns=["frag", "piece", "parent", "birth", "gain", "n", "node", "last", "leaving"]).astype({"parent": "Int64", "n": "Int64", "node": "Int64", "last": "Int64"})
+    got.insert(0, "root", f["root"].iloc[0])
+    got.insert(1, "slice", f["slice"].iloc[0])
+    return got
+
+
+def _selected(p: pd.DataFrame) -> pd.DataFrame:
+    """The stable cluster (CHOSEN) each piece of one tree belongs to; pieces of noise have no row."""
+    ends = p[p["node"].notna()]
+    goes_on = {(s, g, c): (t, x) for s, g, c, t, x in zip(*(ends[k].tolist() for k in ("slice", "frag", "piece", "last", "node")))}
+    # from the heaviest slice down, so that what a piece comes from is met before it
+    p = p[p["node"].isna()].sort_values(["slice", "frag", "piece"], ascending=[False, True, True])
+    cluster: dict[tuple, int] = {}
+    birth, stability, children = [], [], []
+    for s, g, c, parent, born, gain, n in zip(*(p[k].tolist() for k in ("slice", "frag", "piece", "parent", "birth", "gain", "n"))):
+        if (s, g, c) not in cluster:
+            cluster[s, g, c] = len(birth)
+            if c:
+                children[cluster[s, g, int(parent)]].append(len(birth))
+            birth.append(born if c else 0.0)
+            stability.append(0.0)
+            children.append([])
+        own = cluster[s, g, c]
+        stability[own] += gain + (born - birth[own]) * n
+        if (s, g, c) in goes_on:
+            cluster[(*goes_on[s, g, c], 0)] = own
+    best, chosen, own = list(stability), [True] * len(birth), [-1] * len(birth)
+    for c in range(len(birth) - 1, -1, -1):
+        below = sum(best[k] for k in children[c])
+        if children[c] and below > stability[c]:
+            chosen[c], best[c] = False, below
+    for c in range(len(birth)):
+        if own[c] < 0 and chosen[c]:
+            own[c] = c
+        for k in children[c]:
+            own[k] = own[c]
+    root = p["root"].iloc[0] if len(p) else 0
+    return pd.DataFrame([(root, *k, own[c], stability[own[c]]) for k, c in cluster.items() if own[c] >= 0], columns=["root", "slice", "frag", "piece", "cluster", "stability"])
+
+
+def _condensed_hot(edges: DataFrame, least: int) -> DataFrame:
+    """MEMBERS of trees of any size, as :func:`condensed` gives them. The edges (root, a, b, w) are cut into slices
+    by weight (ties by a and b, as there); each slice is condensed in a task of its own, and one task a tree joins
+    the pieces of its clusters."""
+    spark = edges.sparkSession
+    count = -(-edges.count() // LOCAL_ROWS) + 1
+    cut = edges.repartitionByRange(count, "root", "w", "a", "b").withColumn("slice", F.spark_partition_id())
+    one, single = F.lit(1).cast("long"), F.lit(-1)
+    cut = cut.select("root", "slice", F.col("a").alias("x"), F.col("b").alias("y"), "w", "a", "b", one.alias("wa"), one.alias("wb"), single.alias("la"), single.alias("lb"))
+    every = spark.createDataFrame([], SLICED)
+    for part in _contracted(written(cut, "p2-slices"), 0, count):
+        every = every.unionByName(part)
+    made = written(every.groupBy("root", "slice").applyInPandas(lambda f: _pieces(f, least), PIECES), "p2-pieces")
+    own = made.where("node IS NULL OR leaving IS NULL").groupBy("root").applyInPandas(_selected, CHOSEN)
+    leaves = made.where("node IS NOT NULL AND leaving IS NOT NULL")
+    rows = leaves.where("last < 0").select("root", "slice", "frag", "piece", "node", "leaving")
+    up = leaves.where("last >= 0").select("root", F.col("last").alias("slice"), F.col("node").alias("frag"), F.col("slice").alias("s"), F.col("frag").alias("g"), F.col("piece").alias("p"), F.col("leaving").alias("l"))
+    out = rows.where("piece >= 0")
+    rows = rows.where("piece < 0")
+    while not rows.isEmpty():  # fragments under ``least`` rows fall out with what they are part of: fewer than ``least`` turns
+        rows = rows.select("root", "slice", "frag", "node").join(up, ["root", "slice", "frag"])
+        rows = written(rows.select("root", F.col("s").alias("slice"), F.col("g").alias("frag"), F.col("p").alias("piece"), "node", F.col("l").alias("leaving")), "p2-fallen")
+        out = out.unionByName(rows.where("piece >= 0"))
+        rows = rows.where("piece < 0")
+    return out.join(own, ["root", "slice", "frag", "piece"]).select("root", "node", "cluster", F.col("leaving").alias("persistence"), "stability")
+
+
 def clusters(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_samples: int = 3, min_cluster: int = 5, exemplars: int = 3) -> DataFrame:
     """(cluster, size, exemplars): the stable clusters, with their most persistent members (ties to the smaller id).
 
-    A tree of more than LOCAL_ROWS rows is first contracted below the distance at which few enough parts are left, so
-    that no task holds an unbounded tree; above that distance its hierarchy is exact. Trees with fewer than
-    ``min_cluster`` rows are noise.
+    A tree of more than LOCAL_ROWS rows is condensed by slices of its edges, each in a task of its own, with the same
+    result. Trees with fewer than ``min_cluster`` rows are noise.
     """
     _, forest, labels = forest_of(df, key, cells, radius, min_samples)
     edges = forest.join(labels.select(F.col("node").alias("a"), "root"), "a")
     n = written(labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "p2-sizes")
-    rank = F.percent_rank().over(Window.partitionBy("root", F.pmod(F.xxhash64("a", "b"), F.lit(64))).orderBy("w"))
-    hot = edges.join(n.where(F.col("n") > LOCAL_ROWS), "root").withColumn("light", rank <= 1 - LOCAL_ROWS / (2 * F.col("n")))
-    small = edges.join(n.where(F.col("n") <= LOCAL_ROWS), "root").select("root", "a", "b", "w")
-    if hot.isEmpty():
-        every, members = small, labels.select("node", F.col("node").alias("stand"))
-    else:
-        hot = written(hot, "p2-hot")
-        _, merged = boruvka(hot.where("light").select("a", "b", "w"))
-        members = written(labels.join(merged.withColumnRenamed("root", "m"), "node", "left").select("node", F.coalesce("m", "node").alias("stand")), "p2-stand")
-        heavy = hot.where("NOT light").select("root", "a", "b", "w")
-        for x in "ab":
-            heavy = heavy.join(members.withColumnsRenamed({"node": x, "stand": f"s{x}"}), x).drop(x).withColumnRenamed(f"s{x}", x)
-        every = small.unionByName(heavy.select("root", "a", "b", "w"))
-    weight = members.groupBy("stand").agg(F.count(F.lit(1)).alias("wt"))
-    every = every.join(weight.withColumnsRenamed({"stand": "a", "wt": "wa"}), "a").join(weight.withColumnsRenamed({"stand": "b", "wt": "wb"}), "b")
+    hot = written(edges.join(n.where(F.col("n") > LOCAL_ROWS), "root").select("root", "a", "b", "w"), "p2-hot")
+    small = edges.join(n.where((F.col("n") <= LOCAL_ROWS) & (F.col("n") >= min_cluster)), "root").select("root", "a", "b", "w")
 
     def tree(f: pd.DataFrame) -> pd.DataFrame:
-        weights = {**dict(zip(f["a"], f["wa"])), **dict(zip(f["b"], f["wb"]))}
-        if sum(weights.values()) < min_cluster:
-            return pd.DataFrame({"root": [], "node": [], "cluster": [], "persistence": [], "stability": []})
-        rows = condensed(f["a"].to_numpy(), f["b"].to_numpy(), f["w"].to_numpy(), weights, min_cluster)
+        rows = condensed(f["a"].to_numpy(), f["b"].to_numpy(), f["w"].to_numpy(), {}, min_cluster)
         return pd.DataFrame([(f["root"].iloc[0], *r) for r in rows], columns=["root", "node", "cluster", "persistence", "stability"])
 
-    found = every.groupBy("root").applyInPandas(tree, MEMBERS)
-    found = written(found.join(members.withColumnRenamed("node", "idx"), F.col("stand") == F.col("node")).select("root", "cluster", "idx", "persistence", "stability"), "p2-members")
+    found = small.groupBy("root").applyInPandas(tree, MEMBERS)
+    if not hot.isEmpty():
+        found = found.unionByName(_condensed_hot(hot, min_cluster))
+    found = written(found.withColumnRenamed("node", "idx"), "p2-members")
     keys = ["root", "cluster"]
     first = Window.partitionBy(*keys, F.pmod(F.xxhash64("idx"), F.lit(64))).orderBy(F.desc("persistence"), "idx")
     top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= exemplars)

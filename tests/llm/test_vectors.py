@@ -142,3 +142,29 @@ def test_varied_subset_meets_every_kind(spark):
         own = [r.idx for r in rows if r["size"] == size]
         assert len(own) == len(set(own)) == min(size, len(x) - 1) and 5 not in own
         assert len({int(label[i]) for i in own}) == 7
+
+
+@pytest.mark.parametrize("kind", ["copies", "ties", "random"])
+def test_hot_tree_equals_the_whole_one(spark, monkeypatch, kind):
+    monkeypatch.setattr(clusters, "LOCAL_ROWS", 40)
+    rng = np.random.default_rng(5)
+    n = 300
+    a = np.array([int(rng.integers(max(0, i - 30), i)) for i in range(1, n)])
+    b = np.arange(1, n)
+    w = {"copies": np.zeros(n - 1), "ties": rng.integers(0, 4, n - 1) / 10, "random": rng.random(n - 1)}[kind]
+    edges = spark.createDataFrame([(1, int(x), int(y), float(z)) for x, y, z in zip(a, b, w)], "root long, a long, b long, w double")
+
+    def groups(rows):
+        by = {}
+        for node, c, persistence, stability in rows:
+            by.setdefault(c, []).append((node, float(f"{persistence:.9g}"), float(f"{stability:.9g}")))
+        return sorted(sorted(g) for g in by.values())
+
+    got = [(r.node, r.cluster, r.persistence, r.stability) for r in clusters._condensed_hot(edges, 5).collect()]
+    assert got and groups(got) == groups(clusters.condensed(a, b, w, {}, 5))
+
+
+def test_copies_beyond_one_task_are_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "LOCAL_ROWS", 20)
+    rows = clusters.clusters(frame(spark, np.full((60, WIDTH), 0.25, np.float32)), "idx", CELLS, 0.1).collect()
+    assert [(r.cluster_id, r["size"]) for r in rows] == [(0, 60)]
