@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from termloom.llm import leakage
 
@@ -55,3 +56,34 @@ def test_overlap_tolerates_exchanged_words(spark):
     rows = leakage.overlaps(*frames(spark, docs, [(7, " ".join(q))])).collect()
     assert [(r.doc_id, r.item_id) for r in rows] == [(1, 7)] and rows[0].matched >= 0.8 * rows[0].compared
     assert leakage.leaked(*frames(spark, docs, [(7, " ".join(q))])).isEmpty()
+
+
+def test_tolerant_masks_meet_every_passage():
+    kept = [(sum(1 << p for p in mask), span) for mask, span in zip(leakage.TOLERANT_MASKS, leakage.TOLERANT_SPANS)]
+    for n in range(13, 26):
+        held = [k << at for k, span in kept for at in range(n - span + 1)]
+        for wrong in combinations(range(n), n // 5):
+            bad = sum(1 << p for p in wrong)
+            assert any(not k & bad for k in held), (n, wrong)
+
+
+def test_partial_leaks_in_other_text(spark):
+    rng = random.Random(4)
+    q = [f"q{i}" for i in range(100)]
+    other = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], {}
+    for d in range(120):
+        n, s = rng.randint(13, 31), rng.randint(20, 60)
+        part = q[s : s + n]
+        wrong = rng.sample(range(n), n // 5 + (d % 4 == 3) * 4)
+        for i in wrong:
+            part[i] = "other"
+        docs.append((d, " ".join(other(30) + part + other(30))))
+        if d % 4 < 3:
+            want[d] = n - n // 5
+    docs += [(500, None), (501, ""), (502, " ".join(q[40:52]))]
+    rows = {r.doc_id: r for r in leakage.overlaps(*frames(spark, docs, [(7, " ".join(q)), (8, None)])).collect()}
+    assert set(rows) >= set(want) and not set(rows) & {500, 501, 502}
+    assert all(r.compared >= 13 and r.matched >= 0.8 * r.compared for r in rows.values())
+    assert all(rows[d].matched >= m for d, m in want.items())
+    assert leakage.overlaps(*frames(spark, [], [(7, " ".join(q))])).isEmpty() and leakage.overlaps(*frames(spark, docs, [])).isEmpty()
