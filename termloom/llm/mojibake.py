@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.session import written
@@ -214,33 +214,42 @@ def count_bigrams(langs: Sequence[str], tokens: Sequence[str], counts: Sequence[
 
 
 def token_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, token, n): occurrences, added up per task before the shuffle; a hot source has no one task."""
-    schema = "lang string, source string, token string, n long"
+    """(lang, source, token, n, texts): occurrences, and distinct texts that hold the token (a text of several sources
+    counts at the first); added up per task before the shuffle, so a hot source has no one task."""
+    schema = "lang string, source string, token string, n long, texts long"
+    keyed = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).where(F.octet_length("text") > F.length("text"))
+    keyed = keyed.withColumns({"h": F.xxhash64("text"), "size": F.length("text")}).repartition("h", "size")
+    copies = keyed.groupBy("h", "size", "lang", "source").agg(F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("h", "size", "lang").orderBy("source")) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[tuple, list[int]] = {}
         for b in batches:
-            for t, g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if t and not t.isascii():
-                    g = language(g)
-                    for w, n in Counter(tokens_of(t)).items():
-                        held[g, s or "", w] += n
+            for t, g, s, copied, one in zip(*(b.column(i).to_pylist() for i in range(5))):
+                g = language(g)
+                for w, n in Counter(tokens_of(t)).items():
+                    sums = held.setdefault((g, s, w), [0, 0])
+                    sums[0] += n * copied
+                    sums[1] += one
             if len(held) > 500_000:
                 yield _counted(held)
                 held.clear()
         if held:
             yield _counted(held)
 
-    return df.select(text, lang, source).mapInArrow(run, schema).groupBy("lang", "source", "token").agg(F.sum("n").alias("n"))
+    tokens = copies.select("text", "lang", "source", "copies", first.alias("one")).mapInArrow(run, schema)
+    return tokens.groupBy("lang", "source", "token").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    keys = list(held)
-    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(held.values()), pa.int64())], names=["lang", "source", "token", "n"])
+def _counted(held: dict[tuple, list[int]]) -> pa.RecordBatch:
+    keys, sums = list(held), list(held.values())
+    columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([n[i] for n in sums], pa.int64()) for i in range(2)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "token", "n", "texts"])
 
 
 def _summed(tokens: DataFrame, column: str) -> np.ndarray:
-    """Bigram counts of a token table: at most 2^TABLE_BITS numbers come to the driver."""
+    """Bigram counts of a token table, each token once per distinct text, so that neither copies of a text nor
+    repeats within one make a garbled token language; at most 2^TABLE_BITS numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << TABLE_BITS)
@@ -249,13 +258,13 @@ def _summed(tokens: DataFrame, column: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
-    sums = tokens.select("lang", column, "n").mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = tokens.select("lang", column, "texts").mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << TABLE_BITS, np.float32)
     out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     return out
 
 
-JUDGED = "lang string, source string, token string, n long, reading string, swap string"
+JUDGED = "lang string, source string, token string, n long, texts long, reading string, swap string"
 
 
 def judged(tokens: DataFrame, model: Model) -> DataFrame:
@@ -266,9 +275,9 @@ def judged(tokens: DataFrame, model: Model) -> DataFrame:
         m = Model(sent.value)
         for b in batches:
             got = m.judge(b.column(2).to_pylist(), b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in got], pa.string()), pa.array([f"{w[0]}>{w[1]}" if w else None for _, w in got], pa.string())], names=["lang", "source", "token", "n", "reading", "swap"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in got], pa.string()), pa.array([f"{w[0]}>{w[1]}" if w else None for _, w in got], pa.string())], names=["lang", "source", "token", "n", "texts", "reading", "swap"])
 
-    return tokens.select("lang", "source", "token", "n").mapInArrow(run, JUDGED)
+    return tokens.select("lang", "source", "token", "n", "texts").mapInArrow(run, JUDGED)
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:

@@ -59,3 +59,15 @@ def test_empty(spark):
 def test_language_and_tokens():
     assert [M.language(x) for x in ("en-EN", " DE ", None, "", "x", "12")] == ["en", "de", "*", "*", "*", "*"]
     assert M.tokens_of("für x=größe( ) 12") == ["für", "größe", " "]
+
+
+def test_copies_and_repeats_are_no_language(spark):
+    rng = random.Random(1)
+    clean = [(i, " ".join(rng.sample(CLEAN["de"].split(), 5)) + f" {i}", "de", "s") for i in range(120)]
+    bad = garble("für Zustände", "utf-8", "cp1252")
+    copied = [(1000 + i, bad, "de", "st"[i % 2]) for i in range(60)]
+    repeated = [(2000, "größer " + (garble("schwächere", "utf-8", "cp1252") + " ") * 5_000, "de", "s")]
+    df = spark.createDataFrame(clean + copied + repeated, "doc_id long, text string, lang string, source string")
+    model, judged = M.learn(df)
+    assert {r.doc_id for r in M.garbled(df, model).collect()} == {d[0] for d in copied + repeated}
+    assert {(r.source, r.tokens) for r in M.learned_tables(judged).collect()} == {("s", 2 * 30 + 5_000), ("t", 2 * 30)}
