@@ -160,20 +160,22 @@ def forest_of(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_
     cut = rows.join(F.broadcast(sizes), "leaf").select(F.col("idx").alias("node"), F.concat_ws("/", "leaf", F.pmod(F.xxhash64("idx"), F.ceil(F.col("count") / LOCAL_ROWS))).alias("part"))
     parts = written(cut, "p2-parts")
     edges = written(weighed(near), "p2-graph")
-    full = near.groupBy("idx").count().where(F.col("count") >= k).select("idx")
+    # a row whose list isn't full knows all within the radius
+    open_rows = written(near.groupBy("idx").count().where(F.col("count") >= k).select("idx"), "p2-full")
     while True:
         forest, labels = spanning_forest(edges, parts)
         grouped = rows.join(labels.select(F.col("node").alias("idx"), "root"), "idx", "left").withColumn("grp", F.coalesce("root", "idx"))
-        # a part with a row whose list isn't full knows all within the radius for that row; rows with full lists may
-        # have unseen neighbours. The rows of all but the heaviest part of a list ask again, and one row of each part.
-        weight = grouped.groupBy("leaf", "grp").agg(F.count(F.lit(1)).alias("n"))
-        heaviest = weight.groupBy("leaf").agg(F.max_by("grp", F.struct("n", "grp")).alias("top"))
-        heads = grouped.join(full, "idx", "left_semi").groupBy("grp").agg(F.min("idx").alias("idx")).select("idx", F.lit(True).alias("head"))
-        asking = grouped.join(full.withColumn("full", F.lit(True)), "idx", "left").join(F.broadcast(heaviest), "leaf").join(heads, "idx", "left")
-        asking = asking.select("idx", "vec", "leaf", "away", "grp", (F.coalesce("full", F.lit(False)) & ((F.col("grp") != F.col("top")) | F.coalesce("head", F.lit(False)))).alias("ask"))
-        links = written(search(written(asking, "p2-asking"), index, 1, radius), "p2-links")
+        # all others ask for their nearest row of another part, but for those of the one heaviest part: each link of
+        # it that isn't known yet ends at a row of another part that asks
+        top = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "grp").limit(1).select("grp", F.lit(True).alias("top"))
+        asking = grouped.join(F.broadcast(top), "grp", "left").join(open_rows.withColumn("open", F.lit(True)), "idx", "left")
+        asking = written(asking.select("idx", "vec", "leaf", "away", "grp", (F.col("open").isNotNull() & F.col("top").isNull()).alias("ask")), "p2-asking")
+        links = written(search(asking, index, 1, radius), "p2-links")
         if links.isEmpty():
             return rows, forest, labels
+        # parts only grow, so a row that found none needs not ask again
+        settled = asking.where("ask").select("idx").join(links.select("idx"), "idx", "left_anti")
+        open_rows = written(open_rows.join(settled, "idx", "left_anti"), "p2-full")
         edges = written(edges.unionByName(weighed(links)).groupBy("a", "b").agg(F.min("w").alias("w")), "p2-graph")
 
 

@@ -180,6 +180,7 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
     qa = np.column_stack([-2 * qr, np.ones(len(q), np.float32), qn])
     ca = np.column_stack([cr, cn, np.ones(len(c), np.float32)])
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
+    grouped = not np.array_equal(cg, ids)
     spans = [(0, min(SEED_ROWS, len(c)))] + [(s, min(s + CANDIDATE_TILE, len(c))) for s in range(SEED_ROWS, len(c), CANDIDATE_TILE)]
     for t in range(0, len(q), QUERY_TILE):
         rows = slice(t, min(t + QUERY_TILE, len(q)))
@@ -188,7 +189,10 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
             limits = best.limit[rows]
             # ids ascend, so once the k-th hit is at distance 0 no later candidate can come before it
             bound = np.where((best.d[rows, -1] == 0), -1.0, index.share * limits + slack).astype(np.float32)
-            hit_q, hit_c = np.divmod(np.flatnonzero(partial <= bound[:, None]), e - s)
+            near = partial <= bound[:, None]
+            if grouped:  # most of what is near is of the query's own group
+                near &= qg[rows, None] != cg[s:e]
+            hit_q, hit_c = np.divmod(np.flatnonzero(near), e - s)
             for p in range(0, len(hit_q), PAIRS):
                 a, b = hit_q[p : p + PAIRS] + t, hit_c[p : p + PAIRS] + s
                 other = qg[a] != cg[b]

@@ -168,3 +168,14 @@ def test_copies_beyond_one_task_are_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(clusters, "LOCAL_ROWS", 20)
     rows = clusters.clusters(frame(spark, np.full((60, WIDTH), 0.25, np.float32)), "idx", CELLS, 0.1).collect()
     assert [(r.cluster_id, r["size"]) for r in rows] == [(0, 60)]
+
+
+def test_parts_of_two_lists_meet_at_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LIST_ROWS", 100)
+    at = np.concatenate([np.arange(200) * 0.002, 0.48 + np.arange(190) * 0.002])
+    x = np.full((len(at), WIDTH), 0.5, np.float32)
+    x[:, 0] = at
+    ids = np.arange(len(at))
+    ids[[0, 100]], ids[[200, 300]] = ids[[100, 0]], ids[[300, 200]]  # the least id of each line is in its middle
+    got = clusters.groups_at(frame(spark, x, ids), "idx", CELLS, 0.1).collect()
+    assert {(r.idx_a, r.idx_b) for r in got} == {(0, i) for i in range(1, len(at))}
