@@ -3,11 +3,10 @@
 A code-page swap is a substitution cipher: bytes of one encoding shown as the letters of another. The corpus
 itself is the language model: how often two characters follow each other, per language. Expectation: under each
 candidate swap the token is deciphered, and the decipherment that the bigrams prefer by far over the token as it
-stands takes its place. Maximization: bigram counts, the share of each swap per source and the learned mapping
-from garbled sequence to letter are counted anew, so that garbled text leaves the model. After a few rounds
-each source has a substitution table, which translate() and one pattern apply to its texts.
+stands takes its place. Maximization: bigram counts are taken anew, so that garbled text leaves the model. Nothing is
+learned per source; the swaps met in each are only counted.
 
-Everything sent around is bounded: a table of hashed bigram counts and one of swap shares.
+Everything sent around is bounded: a table of hashed bigram counts.
 """
 
 from __future__ import annotations
@@ -153,10 +152,10 @@ def _pairs(tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Hashed bigram counts per language, and the shares of swaps per source."""
+    """Hashed bigram counts per language."""
 
-    def __init__(self, counts: np.ndarray, shares: dict[tuple[str, str], float] | None = None):
-        self.counts, self.shares = counts, shares or {}
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
         self.memo: dict[tuple[str, str], tuple[str, tuple[str, str] | None]] = {}
 
     def scores(self, tokens: Sequence[str], langs: Sequence[str]) -> np.ndarray:
