@@ -130,6 +130,23 @@ judged AS (SELECT *, shaped AND regexp_full_match(idx, '[0-9]+') AND strlen(l1 |
 ORACLES["p1_found"] = f"WITH {_SPLIT} SELECT raw_id FROM judged WHERE NOT coalesce(valid, false)"
 ORACLES["p1_loaded"] = f"""WITH {_SPLIT} SELECT j.raw_id, r.file_id, r.received_at, try_cast(idx AS BIGINT) AS idx, l1 AS line1, l2 AS line2, l3 AS line3, note
 FROM judged j JOIN csf_raw r USING (raw_id) WHERE valid"""
+_REASONS = {
+    "NOT regexp_full_match(idx, '[0-9]+')": "idx is not a number of digits",
+    **{f"strlen({c}) <> length({c})": f"line{c[1]} is not ASCII" for c in ("l1", "l2", "l3")},
+    **{f"contains({c}, chr(9))": f"line{c[1]} holds a tab" for c in ("l1", "l2", "l3")},
+    "NOT regexp_full_match(l1, pattern)": "line1 has an invalid block",
+    "length(l2) > length(l1)": "line2 is longer than line1",
+    f"len(list_filter(range(0, (length(l2) + 8) // 9), lambda i: NOT regexp_full_match(trim(substr(l2, 9 * i::INT + 1, 9), ' '), '|{_J}|[0-9]+; *{_J}'))) > 0": "line2 has an invalid block",
+    "length(l3) <> length(l1) + 2": "line3 has the wrong length",
+    "NOT regexp_full_match(l3[-1:], '[+-]')": "line3 has no parity",
+    f"NOT regexp_full_match(trim(l3[-5:-2], ' '), '{_J}')": "line3 has no final J",
+    f"len(list_filter(range(0, (greatest(length(l3) - 9, 0) + 8) // 9), lambda i: NOT regexp_full_match(trim(substr(substr(l3, 5, greatest(length(l3) - 9, 0)), 9 * i::INT + 1, 9), ' '), '|{_J}'))) > 0": "line3 has an invalid block",
+}
+ORACLES["p1_reasons"] = f"""WITH {_SPLIT}, quoting AS (SELECT raw_id, t, regexp_full_match(t, '(?s){_FIELD}(?:,{_FIELD})*') AS q,
+ length(regexp_replace(regexp_replace(t, '(?s)"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 AS n FROM cut),
+why AS (SELECT q.raw_id, CASE WHEN q.t IS NULL THEN ['record is null'] WHEN NOT q THEN ['broken quotes'] WHEN n < 5 THEN ['missing columns'] WHEN n > 5 THEN ['too many columns']
+ ELSE list_filter([{", ".join(f"CASE WHEN {test} THEN '{reason}' END" for test, reason in _REASONS.items())}], lambda x: x IS NOT NULL) END AS reasons FROM quoting q JOIN judged j USING (raw_id))
+SELECT file_id, reason, count(*)::BIGINT AS n_records FROM (SELECT raw_id, unnest(reasons) AS reason FROM why) JOIN csf_raw USING (raw_id) GROUP BY 1, 2"""
 _P4 = f"""WITH a AS (SELECT DISTINCT idx, {", ".join(CELLS)} FROM descriptor_raw), b AS (SELECT DISTINCT idx, {", ".join(CELLS)} FROM descriptor_copy),
 j AS (SELECT a.idx AS ia, b.idx AS ib, {", ".join(f"a.{c} IS DISTINCT FROM b.{c} AS {c}" for c in CELLS)} FROM a FULL JOIN b ON a.idx = b.idx),
 found AS (SELECT ia AS idx, 'only_raw' AS field FROM j WHERE ib IS NULL UNION ALL SELECT ib, 'only_copy' FROM j WHERE ia IS NULL

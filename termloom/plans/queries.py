@@ -247,9 +247,8 @@ def csf_descriptor_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csf_records(spark: SparkSession, sf: str) -> DataFrame:
-    """csf_raw loaded by the rejects operator; the DuckDB work is spread over all cores."""
-    raw = table(spark, sf, "csf_raw")
-    return load_records(raw.repartition(spark.sparkContext.defaultParallelism * 2, "raw_id"), peel_of(spark, sf), CAPACITY)
+    """csf_raw loaded by the rejects operator, in the splits of its scan."""
+    return load_records(table(spark, sf, "csf_raw"), peel_of(spark, sf), CAPACITY)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
