@@ -64,19 +64,22 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    model, _ = mojibake.learn(docs)
-    return mojibake.garbled(docs, model).select("doc_id")
+    return mojibake.garbled(docs, mojibake.learn(docs)[0]).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    model, _ = mojibake.learn(docs)
-    return mojibake.restored(docs, model)
+    return mojibake.restored(docs, mojibake.learn(docs)[0])
 
 
 def p10_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Which swaps each source shows, and how often."""
-    return mojibake.learned_tables(mojibake.learn(table(spark, sf, "documents"))[1])
+    return mojibake.swaps_of(mojibake.learn(table(spark, sf, "documents"))[0])
+
+
+def p10_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The substitution table of each source and swap: what each shown character stands for."""
+    return mojibake.learn(table(spark, sf, "documents"))[1].select("source", "swap", "shown", "stands_for")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -93,6 +96,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_restored": p10_restored,
     "p10_swaps": p10_swaps,
+    "p10_tables": p10_tables,
 }
 
 _WINDOWS = (
