@@ -49,6 +49,7 @@ LEARNED_MARGIN = 1.0
 LEAST_TOKENS = 30
 CIPHER_ROUNDS = 100
 CIPHER_STARTS = 10
+CIPHER_TASKS = 48
 HIT_BITS = 24
 LEARNED = "learned"
 _CUT = re.compile(r"[\x00-@\[-`{-\x7f]+")
@@ -362,7 +363,8 @@ def solved(shown: np.ndarray, letters: np.ndarray, first: np.ndarray, second: np
     ``first`` and ``second`` are code points of bigrams with their ``counts``; ``letters`` are the language's symbols
     and ``log_p`` their bigrams' log counts; code points in ``fixed`` stand for themselves (position in ``letters``).
     What is learned is how often each letter is shown as each character. Starts are uniform, biased by rank of
-    frequency, biased by the order of code points, and random; the likeliest end is taken, with its mean log count.
+    frequency, biased by the order of code points, and random; the likeliest three after some rounds go on, and the likeliest end
+    is taken, with its mean log count.
     """
     n, m = len(shown), len(letters)
     free = np.array([i for i in range(m) if int(letters[i]) not in fixed], np.int64)
@@ -385,26 +387,30 @@ def solved(shown: np.ndarray, letters: np.ndarray, first: np.ndarray, second: np
     rng = np.random.default_rng(0)
     starts = [np.ones((n, len(free))), biased(np.argsort(-often), np.argsort(-common)), biased(np.argsort(shown), np.argsort(letters[free]))]
     starts += [rng.random((n, len(free))) for _ in range(CIPHER_STARTS)]
-    best, likely, mean = None, -np.inf, -np.inf
-    for start in starts:
-        t = held.copy()
-        t[:n, free] = start * often[:, None]
-        t[:n] /= np.maximum(t[:n].sum(0), 1e-300)
-        for _ in range(rounds):
+    by = [(o := np.argsort(i, kind="stable"), *np.unique(i[o], return_index=True)) for i in (ia, ib)]
+
+    def improved(t: np.ndarray, times: int) -> tuple[np.ndarray, float]:
+        for _ in range(times):
             ta, tb = t[ia], t[ib]
             right, left = tb @ p.T, ta @ p
             mass = np.maximum((ta * right).sum(1), 1e-300)
             new = np.zeros_like(t)
-            np.add.at(new, ia, ta * right * (w / mass)[:, None])
-            np.add.at(new, ib, tb * left * (w / mass)[:, None])
+            for (order, name, begin), part in zip(by, (ta * right, tb * left)):
+                new[name] += np.add.reduceat((part * (w / mass)[:, None])[order], begin, axis=0)
             t = held.copy()
             t[:n] = new[:n] / np.maximum(new[:n].sum(0), 1e-300)
-        end = float((w * np.log(mass)).sum())
-        if end > likely:
-            likely = end
-            best = t * (p.sum(0) + p.sum(1))
-            top = best.argmax(1)
-            mean = float((w * log_p[top[ia], top[ib]]).sum() / max(w.sum(), 1))
+        return t, float((w * np.log(mass)).sum())
+
+    tried = []
+    for start in starts:
+        t = held.copy()
+        t[:n, free] = start * often[:, None]
+        t[:n] /= np.maximum(t[:n].sum(0), 1e-300)
+        tried.append(improved(t, max(1, rounds // 5)))
+    tried = [improved(t, rounds) for t, _ in sorted(tried, key=lambda x: -x[1])[:3]]
+    best = max(tried, key=lambda x: x[1])[0] * (p.sum(0) + p.sum(1))
+    top = best.argmax(1)
+    mean = float((w * log_p[top[ia], top[ib]]).sum() / max(w.sum(), 1))
     best = best[:n] / np.maximum(best[:n].sum(1, keepdims=True), 1e-300)
     return best, mean
 
@@ -472,7 +478,8 @@ def unknown_pages(judged_tokens: DataFrame, model: Model) -> DataFrame:
         cols = [[lang] * len(found), [source] * len(found), *([f[i] for f in found] for i in range(3))]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(),) * 4 + (pa.float64(),))], names=["lang", "source", "shown", "stands_for", "n"])
 
-    return pairs.groupBy("lang", "source").applyInArrow(cipher, schema)
+    # few rows but much work a group, so the groups are spread by number and not by size
+    return pairs.repartition(CIPHER_TASKS, "lang", "source").groupBy("lang", "source").applyInArrow(cipher, schema)
 
 
 def _as_map(tables: DataFrame, *keys: str) -> DataFrame:
