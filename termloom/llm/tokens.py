@@ -2,7 +2,7 @@
 
 The pre-token rule is applied to whole batches at once, on arrays of code points. Each distinct pre-token is
 then encoded once a worker by the backtracking encoder: the Aho-Corasick automaton over the vocabulary gives,
-at a byte, the tokens that start there, longest first; a token is taken if it is compatible with the one before
+at a byte, the longest token that starts there, and a table of prefixes the next shorter ones; a token is taken if it is compatible with the one before
 it (the pair alone would encode to just these two tokens), else the next shorter one, else the encoder steps
 back. That finds the exact merges in linear time. The ids of a text are gathered from the table of pre-tokens.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS = 2_000_000
 TABLE_PIECES = 500_000
-TABLE_BYTES = 20
+TABLE_PAIRS = 2_000_000
 
 # The contractions that the pre-token pattern splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -40,18 +40,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def hash_step(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    h = (h + byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(31))
-
-
-def byte_hash(data: np.ndarray) -> np.uint64:
-    h = np.zeros(1, np.uint64)
-    for k in range(len(data)):
-        h = hash_step(h, data[k : k + 1])
-    return h[0]
-
-
 class BacktrackingEncoder:
     """Exact byte-level BPE of short byte strings (pre-tokens)."""
 
@@ -69,9 +57,10 @@ class BacktrackingEncoder:
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self._tables()
+        self.longest = max(map(len, ranks))
+        self.shorter = {i: next((r for n in range(len(t) - 1, 0, -1) if (r := ranks.get(t[:n])) is not None), -1) for t, i in ranks.items()}
 
     def _offsets(self) -> tuple[np.ndarray, np.ndarray]:
         size = max(self.bytes_of) + 1
@@ -100,6 +89,8 @@ class BacktrackingEncoder:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) > TABLE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._compatible(left, right)
         return known
 
@@ -128,113 +119,39 @@ class BacktrackingEncoder:
                 limit = b + 1
                 b = sb[0]
 
+    def _match(self, text: str, piece: bytes, at: int) -> int:
+        """The longest token that begins at ``at``; every other one there is among its prefixes."""
+        n = self.automaton.longest_prefix(text[at : at + self.longest])
+        while n:
+            token = self.ranks.get(piece[at : at + n])
+            if token is not None:
+                return token
+            n -= 1
+        return -1
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        starts: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for end, (i, n) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - n + 1].append((n, i))
-        for s in starts:
-            s.sort(reverse=True)
-        n, at = len(piece), 0
+        text, n, at = piece.decode("latin-1"), len(piece), 0
         dead = bytearray(n + 1)
         out: list[int] = []
-        taken: list[int] = []
-        choice = 0
+        length, shorter = self.bytes_of, self.shorter
+        token = self._match(text, piece, 0)
         while at < n:
-            options = starts[at]
-            while choice < len(options):
-                length, token = options[choice]
-                if not dead[at + length] and (not out or self.compatible(out[-1], token)):
-                    break
-                choice += 1
-            if choice < len(options):
+            while token >= 0 and (dead[at + len(length[token])] or (out and not self.compatible(out[-1], token))):
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                taken.append(choice)
-                at += length
-                choice = 0
+                at += len(length[token])
+                token = self._match(text, piece, at) if at < n else -1
             else:
                 dead[at] = 1
-                token, choice = out.pop(), taken.pop() + 1
-                at -= len(self.bytes_of[token])
-        return out
-
-    def _tables(self) -> None:
-        """Arrays of the vocabulary for whole batches: token hashes, merges, halves and lengths."""
-        size = max(self.bytes_of) + 1
-        self.length = np.diff(self.offset)
-        self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        for i, pair in self.split.items():
-            if pair:
-                self.left[i], self.right[i] = pair
-        keys = np.array([a << 20 | b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.merge_keys, self.merge_ids = keys[order], np.array(list(self.merge.values()), np.int64)[order]
-        short = [i for t, i in self.ranks.items() if len(t) <= TABLE_BYTES]
-        hashes = np.array([byte_hash(np.frombuffer(self.bytes_of[i], np.uint8)) for i in short], np.uint64)
-        order = np.argsort(hashes)
-        self.token_hashes, self.token_ids = hashes[order], np.array(short, np.int64)[order]
-        self.longest = max(len(self.bytes_of[i]) for i in short)
-
-    def compatible_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """:meth:`compatible` of many pairs at once."""
-        out = np.ones(len(left), bool)
-        at = np.arange(len(left))
-        a, b, limit = left.copy(), right.copy(), np.full(len(left), 1 << 40)
-        while len(at):
-            key = a << 20 | b
-            k = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
-            clash = (self.merge_keys[k] == key) & (self.merge_ids[k] < limit)
-            out[at[clash]] = False
-            no_a, no_b = self.left[a] < 0, self.left[b] < 0
-            go = ~clash & ~(no_a & no_b)
-            undo_a = no_b | (~no_a & (a > b))
-            limit = np.where(undo_a, a, b + 1)
-            a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
-            at, a, b, limit = at[go], a[go], b[go], limit[go]
+                last = out.pop()
+                at -= len(length[last])
+                token = shorter[last]
         return out
 
-    def encode_many(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (rows, k), padded with -1, and their counts, of byte strings of one length: (rows, length).
-
-        For each prefix exactly one last token is compatible with the encoding of what precedes it; it is looked for
-        from the longest token that ends there.
-        """
-        rows, n = m.shape
-        known = np.full((rows, n + 1, min(n, self.longest) + 1), -1, np.int32)
-        for s in range(n):
-            h = np.zeros(rows, np.uint64)
-            for length in range(1, min(n - s, self.longest) + 1):
-                h = hash_step(h, m[:, s + length - 1])
-                k = np.minimum(np.searchsorted(self.token_hashes, h), len(self.token_hashes) - 1)
-                known[:, s + length, length] = np.where(self.token_hashes[k] == h, self.token_ids[k], -1)
-        last = np.full((rows, n + 1), -1, np.int64)
-        for e in range(1, n + 1):
-            open_rows = np.arange(rows)
-            for length in range(min(e, self.longest), 0, -1):
-                token = known[open_rows, e, length]
-                hit = np.flatnonzero(token >= 0)
-                if not len(hit):
-                    continue
-                r, t = open_rows[hit], token[hit].astype(np.int64)
-                ok = np.ones(len(r), bool) if e == length else self.compatible_many(last[r, e - length], t)
-                last[r[ok], e] = t[ok]
-                keep = np.ones(len(open_rows), bool)
-                keep[hit[ok]] = False
-                open_rows = open_rows[keep]
-                if not len(open_rows):
-                    break
-        out = np.full((rows, n), -1, np.int64)
-        count, at = np.zeros(rows, np.int64), np.full(rows, n)
-        while (live := np.flatnonzero(at > 0)).size:
-            t = last[live, at[live]]
-            out[live, count[live]] = t
-            count[live] += 1
-            at[live] -= self.length[t]
-        back = count[:, None] - 1 - np.arange(n)
-        return np.where(back >= 0, np.take_along_axis(out, np.maximum(back, 0), 1), -1), count
-
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(self.pool[self.offset[i] : self.offset[i + 1]].tobytes() for i in ids)
 
@@ -354,10 +271,13 @@ class CorpusEncoder:
             self.rows.update(zip((keys_seen[i] for i in new), base.tolist()))
         row = at[codes]
         id_at, pool = np.frombuffer(self.id_at, np.int64), np.frombuffer(self.ids, np.int32)
-        self._verify(cp, starts, stops, row)
-        count = id_at[row + 1] - id_at[row]
+        first_id, count = id_at[row], id_at[row + 1] - id_at[row]
+        for i in self._strangers(cp, starts, stops, row).tolist():
+            own = self._encoded(cp[starts[i] : stops[i]])
+            first_id[i], count[i] = len(pool), len(own)
+            pool = np.concatenate([pool, np.array(own, np.int32)])
         out_at = np.concatenate([[0], count.cumsum()])
-        where = np.repeat(id_at[row] - out_at[:-1], count) + np.arange(int(out_at[-1]))
+        where = np.repeat(first_id - out_at[:-1], count) + np.arange(int(out_at[-1]))
         ids = pool[where]
         piece_at = np.searchsorted(starts, np.append(begins, total))
         offsets = out_at[piece_at]
@@ -365,48 +285,32 @@ class CorpusEncoder:
         return ids, offsets
 
     def _add_many(self, cp: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
-        """Appends pre-tokens to the table: short ones are encoded together by length, long ones one by one."""
+        """Encodes pre-tokens and appends them to the table."""
         size = stops - starts
         ends = size.cumsum()
         points = cp[np.repeat(starts - (ends - size), size) + np.arange(int(ends[-1]))]
         self.text.frombytes(points.astype(np.uint32).tobytes())
         self.text_at.frombytes((self.text_at[-1] + ends).astype(np.int64).tobytes())
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        data = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
-        byte_ends = np.concatenate([[0], width.cumsum()])[ends]
-        lengths = np.diff(byte_ends, prepend=0)
-        begins = byte_ends - lengths
-        counts = np.zeros(len(size), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            if n <= TABLE_BYTES:
-                tokens, k = self.encoder.encode_many(data[begins[rows][:, None] + np.arange(n)])
-            else:
-                lists = [self.encoder.encode(data[s : s + n].tobytes()) for s in begins[rows].tolist()]
-                k = np.array([len(x) for x in lists])
-                tokens = np.full((len(rows), int(k.max())), -1, np.int64)
-                for i, x in enumerate(lists):
-                    tokens[i, : len(x)] = x
-            counts[rows] = k
-            found.append((rows, tokens))
-        ids_at = np.concatenate([[0], counts.cumsum()])
-        ids = np.empty(int(ids_at[-1]), np.int32)
-        for rows, tokens in found:
-            where = ids_at[rows][:, None] + np.arange(tokens.shape[1])
-            ids[where[tokens >= 0]] = tokens[tokens >= 0]
-        self.id_at.frombytes((self.id_at[-1] + ids_at[1:]).astype(np.int64).tobytes())
-        self.ids.frombytes(ids.tobytes())
-
-    def _verify(self, cp: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray) -> None:
-        """Pre-tokens are found by a 64-bit hash; here each one is compared with the text the table holds."""
+        lists = [self._encoded(points[e - n : e]) for e, n in zip(ends.tolist(), size.tolist())]
+        counts = np.array([len(x) for x in lists], np.int64)
+        self.id_at.frombytes((self.id_at[-1] + counts.cumsum()).astype(np.int64).tobytes())
+        self.ids.frombytes(np.array([i for x in lists for i in x], np.int32).tobytes())
+
+    def _encoded(self, points: np.ndarray) -> list[int]:
+        return self.encoder.encode(points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"))
+
+    def _strangers(self, cp: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Pre-tokens are found by a 64-bit hash; here each one is compared with the text the table holds. Returned are
+        the places of those that only share the hash of another."""
         text_at, text = np.frombuffer(self.text_at, np.int64), np.frombuffer(self.text, np.uint32)
         size = stops - starts
-        known = text_at[row + 1] - text_at[row]
-        same = bool((size == known).all()) and bool((text[np.repeat(text_at[row] - starts, size) + np.arange(len(cp))] == cp).all())
+        same = text_at[row + 1] - text_at[row] == size
+        at = np.where(same, text_at[row], 0)
+        # where the lengths differ any text will do for the comparison
+        place = np.minimum(np.repeat(at - starts, size) + np.arange(len(cp)), len(text) - 1)
+        differs = np.add.reduceat((text[place] != cp).astype(np.int64), starts) > 0
         del text_at, text
-        if not same:
-            raise RuntimeError("two pre-tokens of a batch share a hash")
+        return np.flatnonzero(~same | differs)
 
 
 _ENCODERS: dict[str, CorpusEncoder] = {}
