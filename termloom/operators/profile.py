@@ -2,65 +2,160 @@
 
 A state row says how often a value of a field occurs in a load. A new load adds its counts, a withdrawn one
 subtracts them; every metric (nulls, distinct values, ranges, entropy, pattern violations, shifts between
-loads) comes exactly from the state, without reading the loads again.
+loads) comes exactly from the state, without reading the loads again. The state is a folder of deltas, each with
+one part per load: a change costs what it changes, and what has gathered is merged now and then.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATE = "load_id int, field string, value long, n long"
 ODD = "parity"
+COUNTED_ROWS = 131_072
+MOST_DELTAS = 16
+
+
+def _counts(t: pa.Table, fields: Sequence[str], sign: int) -> pa.RecordBatch:
+    """Value counts of each field and load; the first column is the load."""
+    loads, names = pd.factorize(t.column(0).to_pandas(), use_na_sentinel=False)
+    parts: list[tuple[np.ndarray, ...]] = []
+    for f in range(len(fields)):
+        c = t.column(f + 1)
+        there = c.is_valid().to_numpy()
+        v = c.fill_null(0).to_numpy()
+        low = int(v.min(initial=0))
+        width = int(v.max(initial=0)) - low + 2  # place 0 of each load is for nulls
+        if len(names) * width <= 8 * max(len(v), 1024):
+            n = np.bincount(loads * width + np.where(there, v - low + 1, 0), minlength=len(names) * width)
+            at = np.flatnonzero(n)
+            load, value, n = at // width, at % width, n[at]
+            null, value = value == 0, value + low - 1
+        else:
+            rows = pd.DataFrame({"l": loads, "t": there, "v": np.where(there, v, 0)}).value_counts(sort=False)
+            load, null, value = (rows.index.get_level_values(k).to_numpy() for k in ("l", "t", "v"))
+            null, n = ~null, rows.to_numpy()
+        parts.append((load, np.full(len(load), f), value, null, n))
+    load, field, value, null, n = (np.concatenate(x) for x in zip(*parts))
+    known = pa.array(names, pa.int32(), from_pandas=True)
+    return pa.RecordBatch.from_arrays(
+        [known.take(pa.array(load)), pa.array(list(fields), pa.string()).take(pa.array(field)), pa.array(value.astype(np.int64), mask=null), pa.array(n.astype(np.int64) * sign)], names=["load_id", "field", "value", "n"]
+    )
 
 
 def delta(df: DataFrame, fields: Sequence[str], load: str = "load_id", derived: dict[str, Column] | None = None, sign: int = 1) -> DataFrame:
-    """Signed value counts of a load: (load_id, field, value, n). ``derived`` adds checked patterns as fields.
+    """Signed value counts of the loads in ``df``: (load_id, field, value, n). ``derived`` adds checked patterns as fields.
 
     Fields must be integers. A null value is counted as a null; a null load is a load of its own. Repeated rows
-    count as they are. Counts are added up before the shuffle, so its size follows the distinct values.
+    count as they are. Cells are counted within each task, so the shuffle follows the distinct values, not the cells.
     """
     derived = derived or {}
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("value")) for f in fields]
-    cells += [F.struct(F.lit(f).alias("field"), c.cast("long").alias("value")) for f, c in derived.items()]
-    long = df.select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*cells)))
-    return long.groupBy("load_id", "field", "value").agg((F.count(F.lit(1)) * sign).alias("n"))
-
-
-def merged(state: DataFrame | None, change: DataFrame) -> DataFrame:
-    """State after a delta; values whose count falls to 0 leave it. A count below 0 means a wrong delta and raises."""
-    both = change if state is None else state.unionByName(change)
+    names = [*fields, *derived]
+    cells = [F.col(f).cast("long").alias(f"c{i}") for i, f in enumerate(fields)] + [c.cast("long").alias(f"d{i}") for i, c in enumerate(derived.values())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= COUNTED_ROWS:
+                yield _counts(pa.Table.from_batches(held), names, sign)
+                held = []
+        if sum(map(len, held)):
+            yield _counts(pa.Table.from_batches(held), names, sign)
+
+    rows = df.select(F.col(load).cast("int").alias("load_id"), *cells).mapInArrow(run, STATE)
+    return rows.groupBy("load_id", "field", "value").agg(F.sum("n").alias("n"))
+
+
+def merged(*changes: DataFrame) -> DataFrame:
+    """State after deltas; values whose count falls to 0 leave it. A count below 0 means a wrong delta and raises."""
+    both = changes[0]
+    for c in changes[1:]:
+        both = both.unionByName(c)
     out = both.groupBy("load_id", "field", "value").agg(F.sum("n").alias("n"))
     checked = F.when(F.col("n") < 0, F.raise_error(F.lit("a delta withdraws values that were never added")).cast("long")).otherwise(F.col("n"))
     return out.where("n <> 0").withColumn("n", checked)
 
 
 class ValueCounts:
-    """The persistent state in a folder: each applied delta writes a new version and then moves the pointer."""
+    """The persistent state in a folder of any file system that Spark writes to.
+
+    Each change is a numbered folder, complete when it holds Spark's ``_SUCCESS``. A writer first claims the next
+    number by creating a file that must not exist, so of two at once one fails instead of being lost. A claim whose
+    writer died stops further changes until ``release`` drops it. When more than ``most`` changes have gathered they
+    are merged into one, which then stands for all before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = MOST_DELTAS):
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+        self._jvm = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _numbers(self, kind: str) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
+        return sorted(int(x.split("-")[1]) for x in names if x.startswith(f"{kind}-"))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _done(self, kind: str) -> list[int]:
+        return [n for n in self._numbers(kind) if self._fs.exists(self._at(f"{kind}-{n}/_SUCCESS"))]
 
-    def _pointer(self) -> str:
-        return os.path.join(self.path.removeprefix("file://"), "current.json")
+    def _parts(self) -> list[str]:
+        """Folders that together are the state: the last merged one and the changes after it."""
+        whole = self._done("merged")
+        first = whole[-1] if whole else -1
+        return [f"{self.path}/merged-{first}"] * bool(whole) + [f"{self.path}/delta-{n}" for n in self._done("delta") if n > first]
 
     def read(self) -> DataFrame | None:
-        if not os.path.exists(self._pointer()):
-            return None
-        with open(self._pointer()) as f:
-            return self.spark.read.schema(STATE).parquet(f"{self.path}/{json.load(f)['version']}")
+        parts = self._parts()
+        return merged(*[self.spark.read.schema(STATE).parquet(p) for p in parts]) if parts else None
+
+    def _claim(self) -> int:
+        open_claims = [n for n in self._numbers("claim") if n not in self._done("delta")]
+        if open_claims:
+            raise RuntimeError(f"another change of {self.path} is not finished: claim-{open_claims[0]}")
+        n = max(self._numbers("claim"), default=-1) + 1
+        if not self._fs.createNewFile(self._at(f"claim-{n}")):
+            raise RuntimeError(f"another change of {self.path} came first: claim-{n}")
+        return n
+
+    def release(self) -> None:
+        """Drops claims of writers that died, and what they left."""
+        for n in self._numbers("claim"):
+            if n not in self._done("delta"):
+                self._fs.delete(self._at(f"pending-{n}"), True)
+                self._fs.delete(self._at(f"claim-{n}"), False)
 
     def apply(self, change: DataFrame) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        merged(self.read(), change).select("load_id", "field", "value", "n").write.parquet(f"{self.path}/{version}")
-        with open(self._pointer() + ".new", "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(self._pointer() + ".new", self._pointer())
+        """Adds a delta (one part per load) and gives the state. A delta that withdraws what was never added raises and
+        leaves the state as it was."""
+        n, state = self._claim(), self.read()
+        held = f"{self.path}/pending-{n}"
+        try:
+            rows = change.select("load_id", "field", "value", "n").repartition("load_id")
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("load_id").parquet(held)
+            new = self.spark.read.schema(STATE).parquet(held)
+            taken = new.where("n < 0")
+            if not taken.isEmpty():
+                keys = taken.select("load_id", "field").distinct().withColumnsRenamed({"load_id": "_l", "field": "_f"})
+                both = new if state is None else state.unionByName(new)
+                merged(both.join(keys, F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("field") == F.col("_f")), "left_semi")).write.format("noop").mode("overwrite").save()
+            if not self._fs.rename(self._at(f"pending-{n}"), self._at(f"delta-{n}")):
+                raise OSError(f"cannot move {held}")
+        except Exception:
+            self.release()
+            raise
+        if len(self._parts()) > self.most:
+            self.read().repartition("load_id").write.mode("overwrite").option("compression", "zstd").partitionBy("load_id").parquet(f"{self.path}/merged-{n}")
         return self.read()
 
 

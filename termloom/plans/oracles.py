@@ -156,14 +156,18 @@ ORACLES["p4_summary"] = _P4 + " SELECT field, count(*)::BIGINT AS n_idx FROM fou
 _G = "(SELECT p.pos, m.g FROM peel p JOIN subshell_meta m ON rpad(ltrim(p.subshell, '0123456789'), 2, ' ') = m.angular)"
 _LONG = f"""long AS (SELECT load_id, field, value FROM (SELECT load_id, {", ".join(CELLS)} FROM descriptor_raw) UNPIVOT INCLUDE NULLS (value FOR field IN ({", ".join(CELLS)}))),
 lim AS (SELECT 'col_' || (3 * pos + k) AS field, (3 * pos + k) AS k, CASE WHEN k = 0 THEN g ELSE 80 END AS high FROM {_G}, (VALUES (0), (1), (2)) o(k))"""
-ORACLES["p5_found"] = f"""WITH {_LONG},
+_RULES = f"""{_LONG},
 r AS (SELECT load_id, l.field, k, value, value BETWEEN 0 AND high AS ok FROM long l JOIN lim ON l.field = lim.field),
 m AS (SELECT load_id, field, k, avg((value IS NULL)::INT) AS nulls, max((value IS NOT NULL AND NOT ok)::INT) AS bad, avg(value) FILTER (ok) AS mean FROM r GROUP BY 1, 2, 3),
 t AS (SELECT field, median(mean) AS typical FROM m GROUP BY 1), d AS (SELECT field, stddev_pop(value) FILTER (ok) AS sd FROM r GROUP BY 1),
-odd AS ({" UNION ALL ".join(f"SELECT DISTINCT load_id, 'col_{3 * i + 1}' AS field FROM descriptor_raw WHERE col_{3 * i} BETWEEN 0 AND (SELECT g FROM {_G} WHERE pos = {i}) AND col_{3 * i + 1} BETWEEN 0 AND 80 AND col_{3 * i} % 2 <> col_{3 * i + 1} % 2" for i in range(29))})
-SELECT load_id, field FROM m JOIN t USING (field) JOIN d USING (field) WHERE nulls > 0.05 OR bad = 1 OR (k < 30 AND abs(mean - typical) > 0.5 * sd) UNION SELECT load_id, field FROM odd"""
-ORACLES["p5_profile"] = f"""WITH {_LONG},
+odd AS ({" UNION ALL ".join(f"SELECT load_id, 'col_{3 * i + 1}' AS field, count(*) AS odd_parity FROM descriptor_raw WHERE col_{3 * i} BETWEEN 0 AND (SELECT g FROM {_G} WHERE pos = {i}) AND col_{3 * i + 1} BETWEEN 0 AND 80 AND col_{3 * i} % 2 <> col_{3 * i + 1} % 2 GROUP BY 1" for i in range(29))}),
+why AS (SELECT load_id, field, coalesce(odd_parity, 0)::BIGINT AS odd_parity, array_to_string(list_filter([CASE WHEN nulls > 0.05 THEN 'nulls' END, CASE WHEN bad = 1 THEN 'out of range' END,
+ CASE WHEN odd_parity > 0 THEN 'parity of n and 2Q differs' END, CASE WHEN k < 30 AND abs(mean - typical) > 0.5 * sd THEN 'shifted mean' END], lambda x: x IS NOT NULL), ', ') AS spoiled
+ FROM m JOIN t USING (field) JOIN d USING (field) LEFT JOIN odd USING (load_id, field))"""
+ORACLES["p5_found"] = f"WITH {_RULES} SELECT load_id, field FROM why WHERE spoiled <> ''"
+ORACLES["p5_profile"] = f"""WITH {_RULES},
 c AS (SELECT load_id, l.field, value, high, count(*) AS n FROM long l JOIN lim ON l.field = lim.field GROUP BY ALL),
-s AS (SELECT *, sum(n) FILTER (value IS NOT NULL) OVER (PARTITION BY load_id, field) AS tot FROM c)
-SELECT load_id, field, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (value IS NULL), 0)::BIGINT AS nulls, count(value)::BIGINT AS distinct_values, min(value)::BIGINT AS min_value, max(value)::BIGINT AS max_value,
- coalesce(sum(n) FILTER (value < 0 OR value > high), 0)::BIGINT AS out_of_range, round(-sum(CASE WHEN value IS NOT NULL THEN n / tot * log2(n / tot) END), 6) + 0.0 AS entropy FROM s GROUP BY 1, 2"""
+s AS (SELECT *, sum(n) FILTER (value IS NOT NULL) OVER (PARTITION BY load_id, field) AS tot FROM c),
+p AS (SELECT load_id, field, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (value IS NULL), 0)::BIGINT AS nulls, count(value)::BIGINT AS distinct_values, min(value)::BIGINT AS min_value, max(value)::BIGINT AS max_value,
+ coalesce(sum(n) FILTER (value < 0 OR value > high), 0)::BIGINT AS out_of_range, round(-sum(CASE WHEN value IS NOT NULL THEN n / tot * log2(n / tot) END), 6) + 0.0 AS entropy FROM s GROUP BY 1, 2)
+SELECT p.*, odd_parity, nullif(spoiled, '') AS spoiled FROM p JOIN why USING (load_id, field)"""

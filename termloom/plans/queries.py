@@ -283,13 +283,12 @@ def _capacities(spark: SparkSession, sf: str) -> list[int | None]:
 
 
 def descriptor_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Persistent value counts of descriptor_raw in the shared folder, with the parity pattern as derived fields."""
-    import os
+    """Persistent value counts of descriptor_raw in the shared folder, one signed delta per load, with the parity
+    pattern as derived fields. The table holds the loads of all time, so their deltas come in one change."""
     import uuid
 
-    at = f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
-    os.makedirs(at.removeprefix("file://").removeprefix("file:"), exist_ok=True)
-    return ValueCounts(spark, at).apply(delta(table(spark, sf, "descriptor_raw"), CELLS, derived=parity_fields(_capacities(spark, sf))))
+    state = ValueCounts(spark, f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}")
+    return state.apply(delta(table(spark, sf, "descriptor_raw"), CELLS, derived=parity_fields(_capacities(spark, sf))))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,9 +296,17 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Profile of every column and load: rows, nulls, distinct values, range and entropy."""
-    m = metrics(descriptor_state(spark, sf).where(F.col("field").startswith("col_")), triplet_limits(spark, _capacities(spark, sf)))
-    return m.select("load_id", "field", "rows", "nulls", "distinct_values", "min_value", "max_value", "out_of_range", F.round("entropy", 6).alias("entropy"))
+    """Profile of every column and load: rows, nulls, distinct values, range, entropy, broken pattern, and the reasons
+    that mark it as spoiled."""
+    state, caps = descriptor_state(spark, sf), _capacities(spark, sf)
+    m = metrics(state.where(F.col("field").startswith("col_")), triplet_limits(spark, caps))
+    odd = state.where(F.col("field").startswith("parity:") & (F.col("value") == 1)).select("load_id", F.substring_index("field", ":", -1).alias("field"), F.col("n").alias("odd_parity"))
+    why = spoiled_columns(state, caps).select("load_id", "field", F.array_join("reasons", ", ").alias("spoiled"))
+    for extra in (odd, why):
+        extra = extra.withColumnsRenamed({"load_id": "_l", "field": "_f"})
+        m = m.join(extra, F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("field") == F.col("_f")), "left").drop("_l", "_f")
+    kept = ["load_id", "field", "rows", "nulls", "distinct_values", "min_value", "max_value", "out_of_range"]
+    return m.select(*kept, F.round("entropy", 6).alias("entropy"), F.coalesce("odd_parity", F.lit(0)).alias("odd_parity"), "spoiled")
 
 
 QUERIES: dict[str, Query] = {

@@ -13,7 +13,7 @@ def table(spark, rows):
 
 
 def state_of(spark, rows, caps=(4,)):
-    return P.merged(None, P.delta(table(spark, rows), ["col_0", "col_1", "col_2"], derived=P.parity_fields(caps)))
+    return P.merged(P.delta(table(spark, rows), ["col_0", "col_1", "col_2"], derived=P.parity_fields(caps)))
 
 
 def test_metrics(spark):
@@ -24,18 +24,39 @@ def test_metrics(spark):
     assert m["col_2"].out_of_range == 2 and m["col_2"].mean_in_range == 5 and m["col_1"].mean_in_range == 1.5
 
 
+FIELDS = ["col_0", "col_1", "col_2"]
+
+
 def test_deltas_add_and_withdraw(spark, tmp_path):
-    one, two = [(1, 1, 1, 1)] * 3, [(2, 2, 2, 2), (2, None, 2, 2)]
-    store = P.ValueCounts(spark, str(tmp_path))
+    one, two = [(1, 1, 1, 1)] * 3, [(2, 2, 2, 2), (None, None, 2, 2)]
+    store = P.ValueCounts(spark, f"file:{tmp_path}/counts", most=2)
     assert store.read() is None
-    fields = ["col_0", "col_1", "col_2"]
-    store.apply(P.delta(table(spark, one), fields))
-    store.apply(P.delta(table(spark, two), fields))
-    store.apply(P.delta(table(spark, one), fields, sign=-1))
-    got = {tuple(r) for r in store.read().collect()}
-    assert got == {tuple(r) for r in P.merged(None, P.delta(table(spark, two), fields)).collect()}
+    store.apply(P.delta(table(spark, one), FIELDS))
+    store.apply(P.delta(table(spark, two), FIELDS))
+    want = {tuple(r) for r in P.merged(P.delta(table(spark, two), FIELDS)).collect()}
+    both = {tuple(r) for r in store.read().collect()}
+    assert both == {tuple(r) for r in P.merged(P.delta(table(spark, one + two), FIELDS)).collect()}
+    store.apply(P.delta(table(spark, one), FIELDS, sign=-1))
+    assert {tuple(r) for r in store.read().collect()} == want
+    assert any(p.name.startswith("merged-") for p in (tmp_path / "counts").iterdir())
     with pytest.raises(Exception, match="never added"):
-        store.apply(P.delta(table(spark, one), fields, sign=-1))
+        store.apply(P.delta(table(spark, one), FIELDS, sign=-1))
+    assert {tuple(r) for r in P.ValueCounts(spark, f"{tmp_path}/counts").read().collect()} == want
+
+
+def test_two_writers(spark, tmp_path):
+    store = P.ValueCounts(spark, str(tmp_path))
+    store._claim()
+    with pytest.raises(RuntimeError, match="not finished"):
+        P.ValueCounts(spark, str(tmp_path)).apply(P.delta(table(spark, [(1, 1, 1, 1)]), FIELDS))
+    store.release()
+    assert store.apply(P.delta(table(spark, [(1, 1, 1, 1)]), FIELDS)).count() == 3
+
+
+def test_wide_ranges(spark):
+    rows = [(1, -(2**31), 0, 0), (1, 2**31 - 1, 0, None), (None, 2**31 - 1, 0, 7), (1, 2**31 - 1, 0, None)]
+    got = {(r.load_id, r.field, r.value): r.n for r in P.delta(table(spark, rows), FIELDS).collect()}
+    assert got[1, "col_0", 2**31 - 1] == 2 and got[1, "col_0", -(2**31)] == 1 and got[None, "col_0", 2**31 - 1] == 1 and got[1, "col_2", None] == 2
 
 
 def spoiled(spark, rows, **kw):
