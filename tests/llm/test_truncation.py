@@ -47,3 +47,20 @@ def test_report(spark):
     stats = spark.createDataFrame([(1, "a", 9, 256), (2, "a", None, 88), (3, "c", 0, 256)], "run_id long, file_id string, truncated_count long, max_line_len int")
     got = {r.file_id: (r.records, r.damaged, r.noted_truncated, r.max_line_len) for r in T.source_report(rows(spark, DATA), stats).collect()}
     assert got["a"][:2] == (5, 3) and got["a"][3] in (88, 256) and got["b"][:2] == (2, 1) and got[None][:2] == (2, 1)
+
+
+@pytest.mark.parametrize("text,torn", [("profit rose 50%", False), ("AT&T", False), ("Research by R&D", False), ("a&lt;b&g", True), ("x%20y%", True), ("see &#12", True), ("fish & chips", False)])
+def test_torn(text, torn):
+    assert T.torn(text) == torn
+
+
+def test_long_markup_stays_open():
+    assert T.left_open('<a href="' + "x" * 300 + '">link') == ("a",) and T.left_open("<p>" * 3 + "<a " + "y" * 500) == ("p", "p", "p", "<")
+
+
+def test_terminators_are_learned_per_source(spark):
+    line = "  5s ( 2)"
+    odd = [(100 + i, "s", line + ";") for i in range(20)] + [(200, "s", line), (201, "s", line + ",")]
+    one_long = [(300 + i, "t", line) for i in range(200)] + [(999, "t", line * 2)]
+    got = sorted(r.idx for r in T.damaged_keys(rows(spark, odd + one_long)).collect())
+    assert got == [200, 201]
