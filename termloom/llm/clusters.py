@@ -24,7 +24,7 @@ from termloom.session import written
 
 NEIGHBOURS = 4
 LOCAL_ROWS = 150_000
-FINISH_EDGES = 300_000
+CLOSEST = 1e-12
 EDGE = "a long, b long, w double"
 LOCAL = "kind int, a long, b long, w double"
 
@@ -90,15 +90,7 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     labels = nodes.select("node", F.col("node").alias("root"))
     live = written(edges.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "a", "b", "w"), "p2-live")
-    while (n := live.count()) > 0:
-        if n <= FINISH_EDGES:  # few enough for one task, whatever the input's size
-            done = live.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w", F.lit(True).alias("inside"), F.lit(0).alias("part"))
-            done = written(done.groupBy("part").applyInArrow(_local, LOCAL), "p2-finish")
-            kept = done.where("kind = 0").select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-            forest = forest.unionByName(live.join(kept, ["ca", "cb"]).select("a", "b", "w"))
-            roots = done.where("kind = 2").select(F.col("a").alias("root"), F.col("b").alias("r"))
-            labels = written(labels.join(roots, "root", "left").select("node", F.coalesce("r", "root").alias("root")), "p2-labels")
-            break
+    while not live.isEmpty():
         key = F.struct("w", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         ends = live.select(F.col("ca").alias("c"), F.struct(key.alias("k"), F.col("cb").alias("to")).alias("e"))
         ends = ends.unionByName(live.select(F.col("cb").alias("c"), F.struct(key.alias("k"), F.col("ca").alias("to")).alias("e")))
@@ -138,15 +130,20 @@ def spanning_forest(edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, Data
     return written(proven.unionByName(more), "p2-forest"), written(final, "p2-final")
 
 
-def forest_of(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_samples: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, forest, labels): indexed rows (idx, vec, leaf), spanning forest within ``radius``, and (node, root)."""
-    rows, index = prepared(df, key, cells)
+def forest_of(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_samples: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, forest, labels, copies): indexed rows of distinct vectors (idx, vec, leaf, n), their spanning forest within
+    ``radius``, (node, root) of the rows it joins, and (idx, rep) of the rows that a node stands for besides itself."""
+    rows, index, copies = prepared(df, key, cells, exact=True)
     k = max(NEIGHBOURS, min_samples)
     near = written(search(rows, index, k, radius), "p2-near")
     core = None
     if min_samples > 1:
-        ranked = near.groupBy("idx").agg(F.array_sort(F.collect_list("d2")).alias("d"))  # at most k numbers a row
-        core = written(ranked.select(F.col("idx").alias("node"), F.coalesce(F.sqrt(F.get("d", F.lit(min_samples - 1))), F.lit(radius)).alias("core")), "p2-core")
+        # the distance within which there are min_samples others, the copies of a row and of its neighbours included
+        n = rows.select("idx", "n")
+        met = near.select("idx", "nbr", "d2").join(n.withColumnsRenamed({"idx": "nbr", "n": "m"}), "nbr").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("d2", "m"))).alias("met"))  # at most k a row
+        reached = F.filter("met", lambda x, i: F.col("n") - 1 + F.aggregate(F.slice("met", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["m"]) >= min_samples)
+        core = n.join(met, "idx", "left").select(F.col("idx").alias("node"), F.when(F.col("n") > min_samples, 0.0).otherwise(F.coalesce(F.sqrt(F.get(reached, F.lit(0))["d2"]), F.lit(radius))).alias("core"))
+        core = written(core, "p2-core")
 
     def weighed(found: DataFrame) -> DataFrame:
         e = found.groupBy(F.least("idx", "nbr").alias("a"), F.greatest("idx", "nbr").alias("b")).agg(F.sqrt(F.min("d2")).alias("w"))
@@ -172,7 +169,7 @@ def forest_of(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_
         asking = written(asking.select("idx", "vec", "leaf", "away", "grp", (F.col("open").isNotNull() & F.col("top").isNull()).alias("ask")), "p2-asking")
         links = written(search(asking, index, 1, radius), "p2-links")
         if links.isEmpty():
-            return rows, forest, labels
+            return rows, forest, labels, copies
         # parts only grow, so a row that found none needs not ask again
         settled = asking.where("ask").select("idx").join(links.select("idx"), "idx", "left_anti")
         open_rows = written(open_rows.join(settled, "idx", "left_anti"), "p2-full")
@@ -186,9 +183,20 @@ def groups_at(df: DataFrame, key: str, cells: Sequence[str], distance: float) ->
     Distinct keys count; rows of zeros, null keys and rows with null cells belong to no group. Equal vectors join at
     distance 0. Empty tables give no rows.
     """
-    _, _, labels = forest_of(df, key, cells, distance)
-    least = labels.groupBy("root").agg(F.min("node").alias("idx_a"))
-    return labels.join(least, "root").where("node <> idx_a").select("idx_a", F.col("node").alias("idx_b"))
+    _, _, labels, copies = forest_of(df, key, cells, distance)
+    every = with_copies(labels, copies)
+    least = every.groupBy("root").agg(F.min("node").alias("idx_a"))
+    return every.join(least, "root").where("node <> idx_a").select("idx_a", F.col("node").alias("idx_b"))
+
+
+def with_copies(labels: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, root) with the copies beside the rows they equal."""
+    if copies.isEmpty():
+        return labels
+    roots = labels.withColumnsRenamed({"node": "rep"})
+    heads = copies.select("rep").distinct().join(roots.select("rep"), "rep", "left_anti")
+    more = copies.join(roots, "rep", "left").select(F.col("idx").alias("node"), F.coalesce("root", "rep").alias("root"))
+    return labels.unionByName(more).unionByName(heads.select(F.col("rep").alias("node"), F.col("rep").alias("root")))
 
 
 MEMBERS = "root long, node long, cluster long, persistence double, stability double"
@@ -229,8 +237,11 @@ def condensed(a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: dict[int, int
         node, c = todo.pop()
         if node < n:
             clusters[c]["rows"].append(node)
+            if size[node] > 1:  # equal rows, which leave at the least distance
+                leaving[node] = 1.0 / CLOSEST
+                clusters[c]["stability"] += (1.0 / CLOSEST - clusters[c]["birth"]) * size[node]
             continue
-        inv = 1.0 / max(level[node], 1e-12)
+        inv = 1.0 / max(level[node], CLOSEST)
         sides = [left[node], right[node]]
         big = [s for s in sides if size[s] >= least]
         if len(big) == 2:
@@ -326,7 +337,7 @@ def _pieces(f: pd.DataFrame, least: int) -> pd.DataFrame:
     out: list[tuple] = []
     for tree in sorted({int(top[_find(union, i)]) for i in range(n)}):
         frag = int(low[tree])
-        inv = 1.0 / max(level[tree], 1e-12)
+        inv = 1.0 / max(level[tree], CLOSEST)
         held = [[-1, inv, 0.0, 0]]  # parent, birth, gain, rows
         todo = [(tree, 0 if size[tree] >= least else -1, 0.0 if size[tree] < least else None)]
         while todo:
@@ -334,13 +345,17 @@ def _pieces(f: pd.DataFrame, least: int) -> pd.DataFrame:
             if node < n:
                 if leaving is None and last[node] < 0:
                     leaving = 0.0
+                    if size[node] > 1 and c >= 0:  # equal rows, which leave at the least distance
+                        leaving = 1.0 / CLOSEST
+                        held[c][2] += (leaving - held[c][1]) * size[node]
+                        held[c][3] += int(size[node])
                 out.append((frag, c, None, None, None, None, int(names[node]), int(last[node]), leaving))
                 continue
             sides = [int(left[node]), int(right[node])]
             if leaving is not None:
                 todo += [(s, c, leaving) for s in sides]
                 continue
-            inv = 1.0 / max(level[node], 1e-12)
+            inv = 1.0 / max(level[node], CLOSEST)
             if all(size[s] >= least for s in sides):
                 held[c][2] += (inv - held[c][1]) * size[node]
                 held[c][3] += int(size[node])
@@ -396,14 +411,15 @@ def _selected(p: pd.DataFrame) -> pd.DataFrame:
 
 
 def _condensed_hot(edges: DataFrame, least: int) -> DataFrame:
-    """MEMBERS of trees of any size, as :func:`condensed` gives them. The edges (root, a, b, w) are cut into slices
+    """MEMBERS of trees of any size, as :func:`condensed` gives them. The edges (root, a, b, w, na, nb; na and nb are
+    the rows that a and b stand for) are cut into slices
     by weight (ties by a and b, as there); each slice is condensed in a task of its own, and one task a tree joins
     the pieces of its clusters."""
     spark = edges.sparkSession
     count = -(-edges.count() // LOCAL_ROWS) + 1
     cut = edges.repartitionByRange(count, "root", "w", "a", "b").withColumn("slice", F.spark_partition_id())
-    one, single = F.lit(1).cast("long"), F.lit(-1)
-    cut = cut.select("root", "slice", F.col("a").alias("x"), F.col("b").alias("y"), "w", "a", "b", one.alias("wa"), one.alias("wb"), single.alias("la"), single.alias("lb"))
+    single = F.lit(-1)
+    cut = cut.select("root", "slice", F.col("a").alias("x"), F.col("b").alias("y"), "w", "a", "b", F.col("na").alias("wa"), F.col("nb").alias("wb"), single.alias("la"), single.alias("lb"))
     every = spark.createDataFrame([], SLICED)
     for part in _contracted(written(cut, "p2-slices"), 0, count):
         every = every.unionByName(part)
@@ -428,19 +444,29 @@ def clusters(df: DataFrame, key: str, cells: Sequence[str], radius: float, min_s
     A tree of more than LOCAL_ROWS rows is condensed by slices of its edges, each in a task of its own, with the same
     result. Trees with fewer than ``min_cluster`` rows are noise.
     """
-    _, forest, labels = forest_of(df, key, cells, radius, min_samples)
-    edges = forest.join(labels.select(F.col("node").alias("a"), "root"), "a")
-    n = written(labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "p2-sizes")
-    hot = written(edges.join(n.where(F.col("n") > LOCAL_ROWS), "root").select("root", "a", "b", "w"), "p2-hot")
-    small = edges.join(n.where((F.col("n") <= LOCAL_ROWS) & (F.col("n") >= min_cluster)), "root").select("root", "a", "b", "w")
+    rows, forest, labels, copies = forest_of(df, key, cells, radius, min_samples)
+    n = rows.select("idx", "n")
+    labels = labels.join(n.withColumnRenamed("idx", "node"), "node")
+    edges = forest.join(labels.select(F.col("node").alias("a"), "root", F.col("n").alias("na")), "a").join(n.withColumnsRenamed({"idx": "b", "n": "nb"}), "b")
+    edges = written(edges.select("root", "a", "b", "w", "na", "nb"), "p2-tree")
+    sizes = written(labels.groupBy("root").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")), "p2-sizes")
+    hot = written(edges.join(sizes.where(F.col("nodes") > LOCAL_ROWS).select("root"), "root"), "p2-hot")
+    small = edges.join(sizes.where((F.col("nodes") <= LOCAL_ROWS) & (F.col("n") >= min_cluster)).select("root"), "root")
 
     def tree(f: pd.DataFrame) -> pd.DataFrame:
-        rows = condensed(f["a"].to_numpy(), f["b"].to_numpy(), f["w"].to_numpy(), {}, min_cluster)
-        return pd.DataFrame([(f["root"].iloc[0], *r) for r in rows], columns=["root", "node", "cluster", "persistence", "stability"])
+        weight = {**dict(zip(f["a"].tolist(), f["na"].tolist())), **dict(zip(f["b"].tolist(), f["nb"].tolist()))}
+        found = condensed(f["a"].to_numpy(), f["b"].to_numpy(), f["w"].to_numpy(), weight, min_cluster)
+        return pd.DataFrame([(f["root"].iloc[0], *r) for r in found], columns=["root", "node", "cluster", "persistence", "stability"])
 
     found = small.groupBy("root").applyInPandas(tree, MEMBERS)
     if not hot.isEmpty():
         found = found.unionByName(_condensed_hot(hot, min_cluster))
+    if not copies.isEmpty():
+        alone = n.where(F.col("n") >= min_cluster).join(labels.select(F.col("node").alias("idx")), "idx", "left_anti")
+        lasting = F.lit(1.0 / CLOSEST)
+        alone = alone.select(F.col("idx").alias("root"), F.col("idx").alias("node"), F.lit(0).cast("long").alias("cluster"), lasting.alias("persistence"), (lasting * F.col("n")).alias("stability"))
+        found = written(found.unionByName(alone), "p2-found")
+        found = found.unionByName(copies.join(found.withColumnRenamed("node", "rep"), "rep").select("root", F.col("idx").alias("node"), "cluster", "persistence", "stability"))
     found = written(found.withColumnRenamed("node", "idx"), "p2-members")
     keys = ["root", "cluster"]
     first = Window.partitionBy(*keys, F.pmod(F.xxhash64("idx"), F.lit(64))).orderBy(F.desc("persistence"), "idx")

@@ -1,11 +1,11 @@
 """Most similar vectors for every vector: probed lists, scanned by blocks of rotated dimensions.
 
 The index is fitted on a bounded sample: a rotation by principal components and the centroids of the lists
-(bisecting k-means, so that heavy regions get several lists). Every row is then indexed. A row searches its own
-list first; with the distance of its k-th hit as radius it probes each further list whose region the radius
-reaches. Within a list the partial distances over the first rotated dimensions come first; a hypothesis test
-abandons the candidates for which a distance within the radius is as good as excluded, and only the others get
-their whole distance, in double precision. A list of any size is cut into blocks that are searched pair by pair.
+(bisecting k-means, so that heavy regions get several lists). Equal vectors are folded into one row that stands for all of them; every row is
+then indexed. A row searches its own list first; with the distance of its k-th hit as radius it probes each further list whose region the radius
+reaches. Within a list the distances grow by blocks of rotated dimensions; after each block a hypothesis test
+abandons the candidates for which a distance within the radius is as good as excluded, and only those that pass
+every test get their whole distance, in double precision. A list of any size is cut into blocks that are searched pair by pair.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import written
+from termloom.session import small_side, written
 
 SAMPLE_ROWS = 20_000
 LIST_ROWS = 8_192
@@ -26,7 +26,7 @@ MAX_LISTS = 4_096
 BLOCK_ROWS = 16_384
 QUERY_TILE, CANDIDATE_TILE, SEED_ROWS = 256, 2_048, 1_024
 PAIRS = 200_000
-FIRST_DIMENSIONS = 24
+DIMENSIONS = (24, 40, 60)
 ABANDON_LEVEL = 1e-3
 INDEXED = "idx long, vec binary, leaf int, away double"
 
@@ -76,54 +76,60 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
 
 
 def bisected(x: np.ndarray, lists: int) -> np.ndarray:
-    """Centroids by splitting the fullest list in two until there are ``lists``."""
-    parts = [x.astype(np.float64)]
-    while len(parts) < lists:
-        at = max(range(len(parts)), key=lambda i: len(parts[i]))
-        p = parts[at]
+    """Centroids by splitting the fullest list in two until there are ``lists`` or none can be split."""
+    parts, whole = [x.astype(np.float64)], []
+    while parts and len(parts) + len(whole) < lists:
+        p = parts.pop(max(range(len(parts)), key=lambda i: len(parts[i])))
         if len(p) < 4 or not np.ptp(p, axis=0).any():
-            break
-        c = kmeans(p, 2, seed=len(parts))
+            whole.append(p)
+            continue
+        c = kmeans(p, 2, seed=len(parts) + len(whole) + 1)
         near = ((p - c[0]) ** 2).sum(1) > ((p - c[1]) ** 2).sum(1)
-        if near.all() or not near.any():
-            break
-        parts[at : at + 1] = [p[near], p[~near]]
-    return np.array([p.mean(0) for p in parts])
+        if near.all() or not near.any():  # cut at the mean of the widest dimension, which always leaves two sides
+            k = int(np.ptp(p, axis=0).argmax())
+            near = p[:, k] > p[:, k].mean()
+        parts += [p[near], p[~near]] if near.any() and not near.all() else []
+        whole += [p] if near.all() or not near.any() else []
+    return np.array([p.mean(0) for p in (*whole, *parts)])
 
 
 @dataclass
 class Index:
+    """``ends`` are the last dimensions of the blocks, ``shares`` the tests' quantiles after each."""
+
     rotation: np.ndarray
     centroids: np.ndarray
-    first: int
-    share: float
+    ends: tuple[int, ...]
+    shares: tuple[float, ...]
     reach: np.ndarray | None = None
 
 
-def fit(sample: np.ndarray, rows: int) -> Index:
-    """Rotation, lists and the test's quantile from the sample; ``rows`` is the size of the whole collection."""
+def fit(sample: np.ndarray, rows: int, exact: bool = False) -> Index:
+    """Rotation, lists and the tests' quantiles from the sample; ``rows`` is the size of the whole collection. With
+    ``exact`` a candidate is abandoned only when its partial distance alone is too great."""
     x = sample.astype(np.float64)
     width = x.shape[1]
     if len(x) == 0:
-        return Index(np.eye(width), np.zeros((1, width)), width, 1.0)
+        return Index(np.eye(width), np.zeros((1, width)), (width,), (1.0,))
     _, vectors = np.linalg.eigh(np.cov(x.T) if len(x) > 1 and width > 1 else np.eye(width))
     rotation = np.ascontiguousarray(vectors[:, ::-1])
     lists = int(np.clip(-(-rows // LIST_ROWS), 1, min(MAX_LISTS, max(1, len(x) // 8))))
     centroids = bisected(x, lists)
-    first = min(FIRST_DIMENSIONS, width)
-    share, ratios = 1.0, []
-    if len(x) > 10 and first < width:
+    ends = tuple(e for e in DIMENSIONS if e < width) or (width,)
+    ratios: list[np.ndarray] = []
+    if len(x) > 10 and ends[0] < width and not exact:
         queries, norm = x[:: max(1, len(x) // 1000)], (x**2).sum(1)
         for s in range(0, len(queries), 50):
             q = queries[s : s + 50]
             near = np.argpartition(norm - 2 * q @ x.T, 4, 1)[:, :4]
-            diff = (q[:, None, :] - x[near]) @ rotation
-            whole = (diff**2).sum(2)
-            ratios.append((diff[..., :first] ** 2).sum(2)[whole > 0] / whole[whole > 0])
-        ratio = np.concatenate(ratios)
-        if len(ratio):
-            share = float(min(1.0, np.quantile(ratio, 1 - ABANDON_LEVEL)))
-    return Index(rotation, centroids, first, share)
+            diff = (((q[:, None, :] - x[near]) @ rotation) ** 2).reshape(-1, width)
+            whole = diff.sum(1)
+            sums = diff.cumsum(1)[:, [e - 1 for e in ends]]
+            ratios.append(sums[whole > 0] / whole[whole > 0, None])
+    ratio = np.concatenate(ratios) if ratios else np.zeros((0, len(ends)))
+    # the tests share the level: together they lose a neighbour as often as one test of that level would
+    shares = np.minimum(1.0, np.quantile(ratio, 1 - ABANDON_LEVEL / len(ends), axis=0)) if len(ratio) else np.ones(len(ends))
+    return Index(rotation, centroids, ends, tuple(shares.tolist()))
 
 
 def indexed(vectors: DataFrame, index: Index) -> DataFrame:
@@ -172,13 +178,15 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
     if not len(q) or not len(c):
         return best
     centre = c.mean(0, dtype=np.float64)
-    first = index.rotation[:, : index.first]
-    qr, cr = ((q - centre) @ first).astype(np.float32), ((c - centre) @ first).astype(np.float32)
-    qn, cn = (qr**2).sum(1), (cr**2).sum(1)
-    slack = 4e-6 * float(max(qn.max(), cn.max()))
-    # one product gives the partial distances: (-2q, 1, |q|^2) by (c, |c|^2, 1)
-    qa = np.column_stack([-2 * qr, np.ones(len(q), np.float32), qn])
-    ca = np.column_stack([cr, cn, np.ones(len(c), np.float32)])
+    last, first = index.ends[-1], index.ends[0]
+    turn = index.rotation[:, :last]
+    qr, cr = ((q - centre) @ turn).astype(np.float32), ((c - centre) @ turn).astype(np.float32)
+    q1, c1 = np.ascontiguousarray(qr[:, :first]), np.ascontiguousarray(cr[:, :first])
+    qn, cn = (q1**2).sum(1), (c1**2).sum(1)
+    slack = 4e-6 * float(max((qr**2).sum(1).max(), (cr**2).sum(1).max()))
+    # one product gives the first block's distances: (-2q, 1, |q|^2) by (c, |c|^2, 1)
+    qa = np.column_stack([-2 * q1, np.ones(len(q), np.float32), qn])
+    ca = np.column_stack([c1, cn, np.ones(len(c), np.float32)])
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
     grouped = not np.array_equal(cg, ids)
     spans = [(0, min(SEED_ROWS, len(c)))] + [(s, min(s + CANDIDATE_TILE, len(c))) for s in range(SEED_ROWS, len(c), CANDIDATE_TILE)]
@@ -188,7 +196,7 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
             partial = qa[rows] @ ca[s:e].T
             limits = best.limit[rows]
             # ids ascend, so once the k-th hit is at distance 0 no later candidate can come before it
-            bound = np.where((best.d[rows, -1] == 0), -1.0, index.share * limits + slack).astype(np.float32)
+            bound = np.where((best.d[rows, -1] == 0), -1.0, index.shares[0] * limits + slack).astype(np.float32)
             near = partial <= bound[:, None]
             if grouped:  # most of what is near is of the query's own group
                 near &= qg[rows, None] != cg[s:e]
@@ -197,6 +205,11 @@ def scan(index: Index, q: np.ndarray, qg: np.ndarray, c: np.ndarray, cg: np.ndar
                 a, b = hit_q[p : p + PAIRS] + t, hit_c[p : p + PAIRS] + s
                 other = qg[a] != cg[b]
                 a, b = a[other], b[other]
+                grown = partial[a - t, b - s]
+                for begin, end, share in zip(index.ends, index.ends[1:], index.shares[1:]):
+                    grown = grown + ((qr[a, begin:end] - cr[b, begin:end]) ** 2).sum(1)
+                    stays = grown <= share * best.limit[a] + slack
+                    a, b, grown = a[stays], b[stays], grown[stays]
                 d = ((q64[a] - c64[b]) ** 2).sum(1)
                 near = d <= best.limit[a]
                 best.add(a[near], d[near], ids[b[near]])
@@ -298,12 +311,31 @@ def search(rows: DataFrame, index: Index, k: int, radius: float) -> DataFrame:
     return top.select("idx", F.inline("t")).select("idx", "nbr", "d2").where(F.sqrt("d2") <= radius)
 
 
-def prepared(df: DataFrame, key: str, cells: Sequence[str]) -> tuple[DataFrame, Index]:
-    """Indexed rows (written once, with ``grp`` = idx and ``ask``) and the index fitted on a bounded sample."""
+def folded(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, copies): one row (idx, vec, n) for each distinct vector, named by its least id and standing for n, and
+    (idx, rep) of the other ids. Vectors are equal when two 64-bit hashes are; only those are shuffled for it, and
+    counted before the shuffle, so a vector of a third of all rows is no hot key."""
+    hashed = vectors.select("idx", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g"))
+    many = hashed.groupBy("h", "g").agg(F.min("idx").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = written(many, "p7-equal")
+    members = written(hashed.join(small_side(many), ["h", "g"]).select("idx", "rep", "n"), "p7-copies")
+    copies = members.where("idx <> rep").select("idx", "rep")
+    heads = members.where("idx = rep").select("idx", "n")
+    rows = vectors.join(small_side(copies.select("idx")), "idx", "left_anti").join(small_side(heads), "idx", "left")
+    return rows.select("idx", "vec", F.coalesce("n", F.lit(1)).cast("long").alias("n")), copies
+
+
+def prepared(df: DataFrame, key: str, cells: Sequence[str], exact: bool = False) -> tuple[DataFrame, Index, DataFrame]:
+    """Indexed rows of distinct vectors (written once, with ``n``, ``grp`` = idx and ``ask``), the index fitted on a
+    bounded sample, and the copies (idx, rep) that are no rows of their own."""
     vectors = written(packed(df, key, cells), "p7-vectors")
-    index = fit(sample_of(vectors), vectors.count())
-    rows = written(indexed(vectors, index), "p7-indexed")
-    return rows.select("*", F.col("idx").alias("grp"), F.lit(True).alias("ask")), index
+    rows, copies = folded(vectors)
+    rows = written(rows, "p7-distinct")
+    index = fit(sample_of(rows), rows.count(), exact)
+    placed = written(indexed(rows.select("idx", "vec"), index), "p7-indexed")
+    counted = placed if copies.isEmpty() else placed.join(small_side(rows.where("n > 1").select("idx", "n")), "idx", "left")
+    n = F.lit(1) if copies.isEmpty() else F.coalesce("n", F.lit(1))
+    return counted.select("idx", "vec", "leaf", "away", n.cast("long").alias("n"), F.col("idx").alias("grp"), F.lit(True).alias("ask")), index, copies
 
 
 def nearest(df: DataFrame, key: str, cells: Sequence[str], k: int, radius: float) -> DataFrame:
@@ -312,7 +344,24 @@ def nearest(df: DataFrame, key: str, cells: Sequence[str], k: int, radius: float
     Rows of zeros, null keys and rows with null cells are no vectors; repeated rows count once; equal vectors are
     neighbours at distance 0. Fewer than k rows, or an empty table, give what there is.
     """
-    return search(*prepared(df, key, cells), k, radius)
+    rows, index, copies = prepared(df, key, cells)
+    found = search(rows, index, k, radius)
+    if copies.isEmpty():
+        return found
+    # of each distinct vector the k + 1 least ids are enough for any row's k nearest
+    ranked = copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("idx"))).where(F.col("r") <= k)
+    least = written(ranked.select("rep", F.col("idx").alias("id")), "p7-least")
+    ids = small_side(least)
+    hits = found.select("idx", "d2", F.col("nbr").alias("id"))
+    hits = hits.unionByName(found.join(ids.withColumnRenamed("rep", "nbr"), "nbr").select("idx", "d2", "id"))
+    heads = least.select(F.col("rep").alias("idx")).distinct()
+    zero = F.lit(0.0).alias("d2")
+    hits = hits.unionByName(heads.select("idx", zero, F.col("idx").alias("id"))).unionByName(least.select(F.col("rep").alias("idx"), zero, "id"))
+    top = hits.groupBy("idx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id"))), 1, k + 1).alias("t"))
+    every = copies.unionByName(copies.select(F.col("rep").alias("idx"), "rep").distinct())
+    own = top.join(every.withColumnsRenamed({"idx": "row", "rep": "idx"}), "idx", "left").select(F.coalesce("row", "idx").alias("row"), "t")
+    own = own.select("row", F.slice(F.filter("t", lambda x: x["id"] != F.col("row")), 1, k).alias("t"))
+    return own.select(F.col("row").alias("idx"), F.inline("t")).select("idx", F.col("id").alias("nbr"), "d2")
 
 
 def neighbour_pairs(df: DataFrame, key: str, cells: Sequence[str], k: int, radius: float) -> DataFrame:

@@ -81,9 +81,7 @@ def forest_weight(edges, n):
     return total, [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("finish", [0, 300_000])
-def test_spanning_forest_is_minimal(spark, monkeypatch, finish):
-    monkeypatch.setattr(clusters, "FINISH_EDGES", finish)
+def test_spanning_forest_is_minimal(spark):
     rng = np.random.default_rng(3)
     edges = {}
     for _ in range(500):
@@ -152,7 +150,7 @@ def test_hot_tree_equals_the_whole_one(spark, monkeypatch, kind):
     a = np.array([int(rng.integers(max(0, i - 30), i)) for i in range(1, n)])
     b = np.arange(1, n)
     w = {"copies": np.zeros(n - 1), "ties": rng.integers(0, 4, n - 1) / 10, "random": rng.random(n - 1)}[kind]
-    edges = spark.createDataFrame([(1, int(x), int(y), float(z)) for x, y, z in zip(a, b, w)], "root long, a long, b long, w double")
+    edges = spark.createDataFrame([(1, int(x), int(y), float(z)) for x, y, z in zip(a, b, w)], "root long, a long, b long, w double").selectExpr("*", "1L AS na", "1L AS nb")
 
     def groups(rows):
         by = {}
@@ -179,3 +177,48 @@ def test_parts_of_two_lists_meet_at_their_ends(spark, monkeypatch):
     ids[[0, 100]], ids[[200, 300]] = ids[[100, 0]], ids[[300, 200]]  # the least id of each line is in its middle
     got = clusters.groups_at(frame(spark, x, ids), "idx", CELLS, 0.1).collect()
     assert {(r.idx_a, r.idx_b) for r in got} == {(0, i) for i in range(1, len(at))}
+
+
+def test_copies_are_folded(spark, monkeypatch):
+    """A vector that half of the rows share neither stops the lists from being split nor changes any result."""
+    monkeypatch.setattr(neighbors, "LIST_ROWS", 60)
+    x, label = blobs(6, (200, 60, 20, 3, 1))
+    x = np.concatenate([x, np.repeat(x[[5]], 150, 0), np.repeat(x[[283]], 9, 0)])
+    ids = np.random.default_rng(1).permutation(len(x))
+    df = frame(spark, x, ids)
+    order = np.argsort(ids)
+    want = exact(x[order], 3, 0.1)
+    got = {(r.idx, r.nbr) for r in neighbors.nearest(df, "idx", CELLS, 3, 0.1).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+    rows, index, copies = neighbors.prepared(df, "idx", CELLS)
+    assert copies.count() == 159 and len(index.centroids) > 3
+    d = distances(x[order]) <= 0.1
+    first = d.argmax(1)
+    groups = {r.idx_b: r.idx_a for r in clusters.groups_at(df, "idx", CELLS, 0.1).collect()}
+    assert groups == {i: int(first[i]) for i in range(len(x)) if first[i] != i}
+
+
+def test_lists_are_made_beside_equal_rows():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.zeros((3000, 8)), rng.random((3000, 8))])
+    assert len(neighbors.bisected(x, 100)) == 100
+
+
+@pytest.mark.parametrize("weights", [{}, {3: 7, 40: 2, 90: 30}])
+def test_copies_in_a_tree_count_like_rows(weights):
+    rng = np.random.default_rng(8)
+    n = 120
+    a, b, w = np.array([int(rng.integers(0, i)) for i in range(1, n)]), np.arange(1, n), 0.01 + rng.random(n - 1)
+    more = [(k, 1000 * k + j) for k, m in weights.items() for j in range(1, m)]
+    a2 = np.concatenate([a, [p[0] for p in more]]).astype(np.int64)
+    b2 = np.concatenate([b, [p[1] for p in more]]).astype(np.int64)
+    w2 = np.concatenate([w, np.zeros(len(more))])
+
+    def groups(rows):
+        by = {}
+        for node, c, persistence, stability in rows:
+            if node < n:
+                by.setdefault(c, []).append((node, float(f"{persistence:.9g}"), float(f"{stability:.6g}")))
+        return sorted(sorted(g) for g in by.values())
+
+    assert groups(clusters.condensed(a, b, w, weights, 5)) == groups(clusters.condensed(a2, b2, w2, {}, 5))
