@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import written
+from termloom.session import small_side, written
 
 P = (1 << 61) - 1
 _M32, _M29 = np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1)
 _P = np.uint64(P)
 CHECKS = 2
+SOLVE_TASKS = 48
 
 
 def mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,13 +156,13 @@ def rational(ratio: np.ndarray, z: np.ndarray, delta: int, bound: int) -> tuple[
 
 
 def elements(df: DataFrame, key: Sequence[str], cells: Sequence[str], buckets: int) -> DataFrame:
-    """Distinct rows as (bucket, x): x is a hash of key and cells in 1 .. 2^61 - 2, nulls included."""
+    """Distinct rows as (bucket, x, key): x is a hash of key and cells in 1 .. 2^61 - 2, nulls included."""
     marked: list[Column] = []
     for c in [*key, *cells]:
         marked += [F.col(c).isNull(), F.col(c)]
     x = F.pmod(F.xxhash64(*marked), F.lit(P - 2)) + 1
     bucket = F.pmod(F.hash(*[F.col(k) for k in key]), F.lit(buckets))
-    return df.select(bucket.cast("int").alias("bucket"), x.alias("x")).distinct()
+    return df.select(bucket.cast("int").alias("bucket"), x.alias("x"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).distinct()
 
 
 def sketch(items: DataFrame, side: str, m: int) -> DataFrame:
@@ -229,7 +230,7 @@ def _roots(items: DataFrame, solved: DataFrame, which: str) -> DataFrame:
     return items.join(solved.where("ok").select("bucket", F.col(which).alias("poly")), "bucket").mapInPandas(run, "bucket int, x long")
 
 
-def differing(a: DataFrame, b: DataFrame, buckets: int, first_bound: int = 16, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
+def differing(a: DataFrame, b: DataFrame, buckets: int, first_bound: int = 16, chunk: int = 64) -> tuple[DataFrame, DataFrame]:
     """Elements of ``a`` only and of ``b`` only. Loops while buckets are unsolved, with twice the bound each time.
 
     A bound of at least the bucket's whole size always solves it, so the loop ends; only the count of open
@@ -240,7 +241,8 @@ def differing(a: DataFrame, b: DataFrame, buckets: int, first_bound: int = 16, c
     while True:
         per = max(1, chunk * first_bound // m)
         both = sketch(open_a, "a", m + CHECKS).unionByName(sketch(open_b, "b", m + CHECKS))
-        solved = written(both.withColumn("chunk", F.floor(F.col("bucket") / per)).groupBy("chunk").applyInPandas(_solve_chunk(m), SOLVED), "p4-solved")
+        # few rows but much work a chunk, so the chunks are spread by number and not by size
+        solved = written(both.withColumn("chunk", F.floor(F.col("bucket") / per)).repartition(SOLVE_TASKS, "chunk").groupBy("chunk").applyInPandas(_solve_chunk(m), SOLVED), "p4-solved")
         left.append(_roots(open_a, solved, "top"))
         right.append(_roots(open_b, solved, "low"))
         if solved.where("not ok").isEmpty():
@@ -260,16 +262,13 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, cells: Sequence[str], bucket
     ea, eb = (written(elements(x, [key], cells, buckets), f"p4-{s}") for x, s in ((a, "a"), (b, "b")))
     da, db = differing(ea, eb, buckets, first_bound)
     hits = written(da.unionByName(db).select("x"), "p4-differing").distinct()
-    marked: list[Column] = []
-    for c in [key, *cells]:
-        marked += [F.col(c).isNull(), F.col(c)]
-    x = F.pmod(F.xxhash64(*marked), F.lit(P - 2)) + 1
-    hashed = a.select(key, x.alias("x")).unionByName(b.select(key, x.alias("x")))
-    keys = hashed.join(hits, "x", "left_semi").select(F.col(key).alias("_k")).distinct()
+    own = ea.unionByName(eb).join(small_side(hits), "x", "left_semi")
+    keys = own.select(F.col("_k0").alias("_k")).distinct()
     keys = written(keys, "p4-keys")
+    found = small_side(keys)
 
     def fetched(df: DataFrame, side: str) -> DataFrame:
-        got = df.select(key, *cells).join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+        got = df.select(key, *cells).join(found, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
         text = [F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")))).alias(f"{side}_{c}") for c in cells]
         return got.groupBy(F.col(key).alias(f"{side}_key")).agg(F.lit(True).alias(side), *text)
 

@@ -268,9 +268,10 @@ ROWS_PER_BUCKET = 256
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Buckets of some 256 keys by the row count in the footers, so that their differences stay few at any size."""
+    """Buckets of some 256 keys of the larger side by the row counts in the footers, so that their differences stay few
+    at any size and whichever side lacks rows."""
     a, b = table(spark, sf, "descriptor_raw"), table(spark, sf, "descriptor_copy")
-    buckets = max(1, a.count() // ROWS_PER_BUCKET)
+    buckets = max(1, max(a.count(), b.count()) // ROWS_PER_BUCKET)
     return reconcile(a, b, "idx", CELLS, buckets, labels=("only_raw", "only_copy"))
 
 
