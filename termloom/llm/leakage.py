@@ -2,7 +2,7 @@
 
 A seed of a word window keeps the words at the positions of a fixed mask and ignores the others, so a passage
 with words exchanged at ignored places still meets the seed of the item. The seeds of the items go, as a bitmap
-of fixed size, to the workers that read the corpus; only windows that pass it are shuffled and joined with the
+sized by their number, to the workers that read the corpus; only windows that pass it are shuffled and joined with the
 items' seeds. For exact passages a hit is verified on its words; for passages with exchanged words the hit gives
 the alignment of the two texts, and the longest passage along it is taken.
 """
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import small_side, written
+
 SPAN = 13
-# Positions kept by each mask; both have the span of the shortest passage, so no exact passage is missed.
-MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7, 8, 10, 11, 12), (0, 2, 3, 5, 6, 9, 10, 12))
+# Positions kept by the mask of exact passages; it has the span of the shortest passage, so none is missed.
+MASK = (0, 1, 3, 4, 7, 8, 10, 11, 12)
 
 
 def _tolerant_masks() -> tuple[tuple[int, ...], ...]:
@@ -43,12 +45,12 @@ def _tolerant_masks() -> tuple[tuple[int, ...], ...]:
 
 TOLERANT_MASKS = _tolerant_masks()
 TOLERANT_SPANS = (13,) * 7 + (15,) * 6 + (20, 25)
-TOLERANT_BITS = 26
 TOLERANT_CHARS = 400_000
-CONTEXT = 13
-BITMAP_BITS = 24
+SPARE_BITS = 7
+LEAST_BITS, MOST_BITS = 16, 30
 BATCH_CHARS = 2_000_000
-SEEDS = "key long, mask int, h long, at int, win string, before string, after string"
+SEEDS = "key long, h long, win string"
+PLACES = "key long, mask int, h long, at int"
 
 
 def _word_bytes() -> np.ndarray:
@@ -112,40 +114,30 @@ class Words:
         return " ".join(self.data[s:e].decode("ascii") for s, e in zip(self.start[a:b].tolist(), self.stop[a:b].tolist()))
 
 
+def _passes(h: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    if bitmap is None:
+        return np.ones(len(h), bool)
+    bit = (h >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
+    return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _seed_rows(keys: pa.Array, texts: list[str | None], bitmap: np.ndarray | None) -> pa.RecordBatch:
     w = Words(texts)
-    inside = w.windows()
-    columns: list[list] = [[] for _ in range(7)]
-    for m, mask in enumerate(MASKS):
-        h = w.seeds(mask)
-        hit = inside
-        if bitmap is not None:
-            bit = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            hit = inside & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-        at = np.flatnonzero(hit)
-        columns[2] += h[at].astype(np.int64).tolist()
-        for i in at.tolist():
-            t = w.text[i]
-            first, end = int(w.first[t]), int(w.first[t + 1])
-            columns[0].append(keys[int(t)].as_py())
-            columns[1].append(m)
-            columns[3].append(i - first)
-            columns[4].append(w.joined(i, i + SPAN))
-            columns[5].append(w.joined(max(first, i - CONTEXT), i))
-            columns[6].append(w.joined(i + SPAN, min(end, i + SPAN + CONTEXT)))
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "mask", "h", "at", "win", "before", "after"])
+    h = w.seeds(MASK)
+    at = np.flatnonzero(w.windows() & _passes(h, bitmap))
+    # a text that repeats a window says it once
+    _, first = np.unique(np.column_stack([w.text[at], h[at].view(np.int64)]), axis=0, return_index=True)
+    at = at[np.sort(first)]
+    win = pa.array([w.joined(i, i + SPAN) for i in at.tolist()], pa.string())
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(w.text[at])), pa.array(h[at].astype(np.int64)), win], names=["key", "h", "win"])
 
 
 def _place_rows(keys: pa.Array, texts: list[str | None], bitmap: np.ndarray | None) -> pa.RecordBatch:
     w = Words(texts)
     text, at, seed, number = [], [], [], []
     for m, (mask, span) in enumerate(zip(TOLERANT_MASKS, TOLERANT_SPANS)):
-        h, hit = w.seeds(mask, span), w.windows(span)
-        if bitmap is not None:
-            bit = (h >> np.uint64(64 - TOLERANT_BITS)).astype(np.int64)
-            hit = hit & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-        i = np.flatnonzero(hit)
+        h = w.seeds(mask, span)
+        i = np.flatnonzero(w.windows(span) & _passes(h, bitmap))
         text.append(w.text[i])
         at.append(i - w.first[w.text[i]])
         seed.append(h[i].astype(np.int64))
@@ -155,8 +147,7 @@ def _place_rows(keys: pa.Array, texts: list[str | None], bitmap: np.ndarray | No
 
 
 def seeds_of(df: DataFrame, key: str, text: str, bitmap: np.ndarray | None = None, rows_of: Callable = _seed_rows, schema: str = SEEDS, chars: int = BATCH_CHARS) -> DataFrame:
-    """Seeds of every window (that passes the bitmap): their place and, in the rows of _seed_rows, the words of and
-    around the window."""
+    """Seeds of every window (that passes the bitmap), with their words or their place in the text."""
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +165,10 @@ def seeds_of(df: DataFrame, key: str, text: str, bitmap: np.ndarray | None = Non
     return df.select(F.col(key).cast("long"), text).mapInArrow(run, schema)
 
 
-def bitmap_of(seeds: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Bitmap of the seeds' leading bits: 2 MB (8 MB for tolerant seeds) whatever their number; the driver gets at
-    most 2^(bits - 6) longs."""
+def bitmap_of(seeds: DataFrame) -> np.ndarray:
+    """Bitmap of the seeds' leading bits, with at least 2^SPARE_BITS bits a seed: few other windows pass it, however
+    many items there are. It takes 128 MB at most; beyond some eight million seeds more windows pass and are joined."""
+    bits = min(MOST_BITS, max(LEAST_BITS, seeds.count().bit_length() + SPARE_BITS))
     bit = F.shiftrightunsigned("h", 64 - bits)
     words = seeds.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) AS w", "shiftleft(1L, cast(bit % 64 AS int)) AS b")
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -185,23 +177,17 @@ def bitmap_of(seeds: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", question: str = "question") -> DataFrame:
-    """Seed hits of a document window and an item window, with the words of both."""
-    from termloom.session import written
-
-    own = written(seeds_of(items, item_key, question), "p9-items")
-    theirs = seeds_of(docs, doc_key, text, bitmap_of(own))
-    d = theirs.withColumnsRenamed({"key": doc_key, "at": "doc_at", "win": "doc_win", "before": "doc_before", "after": "doc_after"})
-    return d.join(own.withColumnRenamed("key", item_key), ["mask", "h"])
-
-
 def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", question: str = "question") -> DataFrame:
     """(doc_key, item_key): texts that share at least 13 consecutive words with an item's question.
 
     Words are the longest runs of a-z and 0-9 after lower-casing. Null, empty and shorter texts or questions share
     nothing; equal texts are each reported; other columns are not looked at. Empty tables give no rows.
     """
-    same = hits(docs, items, doc_key, item_key, text, question).where((F.col("mask") == 0) & (F.col("doc_win") == F.col("win")))
+    own = written(seeds_of(items, item_key, question), "p9-items")
+    theirs = seeds_of(docs, doc_key, text, bitmap_of(own))
+    # the items' windows are few beside the corpus: where their number allows it the corpus side isn't shuffled, so an
+    # opening phrase shared by many items and documents is no hot key
+    same = theirs.withColumnRenamed("key", doc_key).join(small_side(own.withColumnRenamed("key", item_key)), ["h", "win"])
     return same.select(doc_key, item_key).distinct()
 
 
@@ -231,12 +217,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = 0.8, doc_key: str
     """(doc_key, item_key, matched, compared): substitution-tolerant overlaps. The two texts are laid side by side as
     a hit aligns them; the pair counts when at least ``least`` of the words of some passage of at least SPAN words are
     equal, whatever surrounds it. The best passage is given. No passage is missed for ``least`` of 0.8 or more."""
-    from termloom.session import written
-
-    schema = "key long, mask int, h long, at int"
-    own = written(seeds_of(items, item_key, question, None, _place_rows, schema, TOLERANT_CHARS), "p9-items")
-    theirs = seeds_of(docs, doc_key, text, bitmap_of(own, TOLERANT_BITS), _place_rows, schema, TOLERANT_CHARS)
-    pairs = theirs.withColumnsRenamed({"key": "doc", "at": "doc_at"}).join(own.withColumnRenamed("key", "item"), ["mask", "h"])
+    own = written(seeds_of(items, item_key, question, None, _place_rows, PLACES, TOLERANT_CHARS), "p9-items")
+    theirs = seeds_of(docs, doc_key, text, bitmap_of(own), _place_rows, PLACES, TOLERANT_CHARS)
+    pairs = theirs.withColumnsRenamed({"key": "doc", "at": "doc_at"}).join(small_side(own.withColumnRenamed("key", "item")), ["mask", "h"])
     # many windows and masks meet along one alignment, so most rows end before the shuffle
     pairs = pairs.select("doc", "item", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
     pairs = written(pairs.groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts")), "p9-pairs")

@@ -50,6 +50,13 @@ def p3_subsets(spark: SparkSession, sf: str) -> DataFrame:
     return varied.varied_subsets(table(spark, sf, "descriptor_norm"), "idx", CELLS, (20, 200, 2000), table(spark, sf, "csf_table").select("idx"))
 
 
+def p3_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the subsets: rows and distinct idx of each size, and idx that are no described record of csf_table."""
+    good = neighbors.packed(table(spark, sf, "descriptor_norm"), "idx", CELLS).join(table(spark, sf, "csf_table").select("idx"), "idx", "left_semi")
+    chosen = p3_subsets(spark, sf).join(good.select("idx", F.lit(True).alias("good")), "idx", "left")
+    return chosen.groupBy("size").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("idx").alias("n_idx"), F.count(F.when(F.col("good").isNull(), 1)).alias("n_other"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.damaged_keys(table(spark, sf, "csf_table"))
 
@@ -86,6 +93,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
     "p3_subsets": p3_subsets,
+    "p3_checked": p3_checked,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_found": p7_found,
@@ -114,6 +122,8 @@ u AS (SELECT file_id, max(held) AS usual FROM b WHERE whole GROUP BY 1),
 j AS (SELECT b.*, NOT whole OR held < usual AS damaged FROM b JOIN u ON b.file_id = u.file_id)"""
 
 LLM_ORACLES: dict[str, str] = {
+    "p3_checked": f"""WITH {_V}, n AS (SELECT count(DISTINCT v.idx) AS n FROM v JOIN csf_table USING (idx))
+SELECT size::INT AS size, least(size, n)::BIGINT AS n_rows, least(size, n)::BIGINT AS n_idx, 0::BIGINT AS n_other FROM n, (VALUES (20), (200), (2000)) s(size)""",
     "p6_found": f"WITH {_LINES} SELECT DISTINCT idx FROM j WHERE damaged",
     "p6_report": f"""WITH {_LINES}, k AS (SELECT file_id, idx, max(damaged::INT) AS d FROM j GROUP BY 1, 2),
 n AS (SELECT file_id, arg_max_null(truncated_count, run_id) AS noted_truncated, arg_max_null(max_line_len, run_id) AS max_line_len FROM conversion_stats GROUP BY 1)

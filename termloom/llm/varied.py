@@ -39,11 +39,13 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _drawn(vectors: DataFrame, centres: dict[int, np.ndarray], number: int) -> dict[int, np.ndarray]:
-    """For each wanted size its next seeds: a weighted sample without replacement of as many rows.
+    """For each wanted size its next seeds: a weighted sample without replacement of as many rows, MOST_CLUSTERS at most.
 
     A row's key is log(u) / weight with u from a hash of its id; the greatest keys are the sample. Each task hands on
-    no more than it could contribute.
+    no more than it could contribute, then each of 64 parts, so neither a task nor the driver meets more rows as sizes
+    or tables grow.
     """
+    most = {size: min(size, MOST_CLUSTERS) for size in centres}
     width = next(iter(centres.values())).shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,19 +56,21 @@ def _drawn(vectors: DataFrame, centres: dict[int, np.ndarray], number: int) -> d
             for size, c in centres.items():
                 _, d = _nearest(x, c)
                 key = np.log(np.clip(u, 1e-300, 1 - 1e-16)) / np.maximum(d, 1e-12)
-                best = np.argsort(-key)[:size]
+                best = np.argsort(-key)[: most[size]]
                 k, v = key[best], x[best]
                 if size in held:
                     k, v = np.concatenate([held[size][0], k]), np.concatenate([held[size][1], v])
-                    top = np.argsort(-k)[:size]
+                    top = np.argsort(-k)[: most[size]]
                     k, v = k[top], v[top]
                 held[size] = (k, v)
         for size, (k, v) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(k), binary_of(v)], names=["size", "key", "vec"])
 
     drawn = vectors.select("idx", "vec", F.xxhash64("idx", F.lit(100 + number)).alias("u")).mapInArrow(run, "size int, key double, vec binary")
-    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("key"), "vec"))).where("r <= size")
-    got = ranked.select("size", "vec").toArrow()
+    bound = F.least("size", F.lit(MOST_CLUSTERS))
+    for keys in (["size", F.pmod(F.xxhash64("vec"), F.lit(64))], ["size"]):
+        drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("key"), "vec"))).where(F.col("r") <= bound).drop("r")
+    got = drawn.select("size", "vec").toArrow()
     sizes = got.column(0).to_numpy()
     x = matrix_of(got.column(1), width)
     return {size: x[sizes == size] for size in centres}
@@ -155,7 +159,7 @@ def varied_subsets(df: DataFrame, key: str, cells: Sequence[str], sizes: Sequenc
     if among is not None:
         vectors = vectors.join(among.select(F.col(key).cast("long").alias("idx")), "idx", "left_semi")
     vectors = written(vectors, "p3-vectors")
-    first = vectors.orderBy(F.xxhash64("idx", F.lit(3)), "idx").limit(max(sizes)).select("vec").toArrow()
+    first = vectors.orderBy(F.xxhash64("idx", F.lit(3)), "idx").limit(min(max(sizes), MOST_CLUSTERS)).select("vec").toArrow()
     if first.num_rows == 0:
         return vectors.select(F.lit(0).alias("size"), F.col("idx").alias(key)).limit(0)
     x = matrix_of(first.column(0), len(cells))
