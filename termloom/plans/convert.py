@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
+import logging
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from termloom.functions.scalars import is_ascii, is_oversize, is_too_long, truncate_line
 from termloom.schema import DEFAULT_CHUNK_SIZE, DEFAULT_MAX_LINE_LEN
+from termloom.sources import files
 from termloom.sources.csf_text import read_csf_text
-from termloom.sources.header import write_header
+from termloom.sources.header import header_text
 
 LINES = ("line1", "line2", "line3")
+LOG = logging.getLogger("termloom")
 
 
 def _positive(name: str, value: int | None, default: int | None) -> int | None:
@@ -48,38 +50,46 @@ def convert_csfs(
 ) -> dict:
     """Converts a CSF text file to Parquet (idx, line1, line2, line3; uncompressed) plus ``{stem}_header.toml``.
 
-    ``chunk_size`` is the lines per partition hint, ``num_workers`` the number of partitions. Zero for a tuning
-    argument raises ValueError. Data and I/O errors give ``{"success": False, "error": ...}`` and no output.
+    ``chunk_size`` is the most lines a partition should hold, by the length of the file's first lines, and
+    ``num_workers`` the number of partitions. Zero for a tuning argument raises ValueError. Data and I/O errors give
+    ``{"success": False, "error": ...}`` and no output. The output may be on any file system Spark writes to. A short
+    header, overlong lines and left-over lines are logged as warnings.
     """
     max_line_len = _positive("max_line_len", max_line_len, DEFAULT_MAX_LINE_LEN)
     chunk_size = _positive("chunk_size", chunk_size, DEFAULT_CHUNK_SIZE)
     num_workers = _positive("num_workers", num_workers, None)
     spark = spark or SparkSession.builder.getOrCreate()
-    target = Path(output_path)
+    target = str(output_path)
     begun = False
     try:
-        if not target.parent.exists():
-            raise FileNotFoundError(f"no such directory: {target.parent}")
-        text = read_csf_text(spark, str(input_path), partitions=num_workers)
+        if not files.exists(spark, files.parent(target)):
+            raise FileNotFoundError(f"no such directory: {files.parent(target)}")
+        text = read_csf_text(spark, str(input_path), partitions=num_workers, lines=chunk_size)
         seen = Observation()
         frame = convert_frame(text.records, max_line_len)
         frame = frame.observe(seen, F.count(F.lit(1)).alias("csf_count"), F.sum("truncated").alias("truncated_count"), F.sum("oversize").alias("oversize_count"))
         frame = frame.select("idx", *LINES)
         begun = True
-        (frame.coalesce(1) if single_file else frame).write.mode("overwrite").option("compression", "none").parquet(str(target))
+        (frame.coalesce(1) if single_file else frame).write.mode("overwrite").option("compression", "none").parquet(target)
         counts = seen.get
         stats = {"csf_count": counts["csf_count"] or 0, "total_lines": text.total_lines, "truncated_count": counts["truncated_count"] or 0}
-        header = target.parent / f"{Path(input_path).stem or 'csfs'}_header.toml"
-        write_header(header, text.header_lines, stats)
+        header = files.beside(target, f"{Path(str(input_path)).stem or 'csfs'}_header.toml")
+        files.write_text(spark, header, header_text(text.header_lines, stats))
     except Exception as e:
         if begun:
-            shutil.rmtree(target, ignore_errors=True)
+            files.delete(spark, target)
         return {"success": False, "error": str(e)}
+    if text.header_missing:
+        LOG.warning("%s: the header lacks %d of its lines", input_path, text.header_missing)
+    if counts["oversize_count"]:
+        LOG.warning("%s: %d lines are longer than a megabyte", input_path, counts["oversize_count"])
+    if text.total_lines % 3:
+        LOG.warning("%s: the last %d lines make no record", input_path, text.total_lines % 3)
     return {
         "success": True,
         "input_file": str(input_path),
-        "output_file": str(target),
-        "header_file": str(header),
+        "output_file": target,
+        "header_file": header,
         "max_line_len": max_line_len,
         "oversize_count": counts["oversize_count"] or 0,
         **stats,

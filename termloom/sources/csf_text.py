@@ -96,11 +96,14 @@ def _records(path: str, start: int, end: int, size: int, first_line: int, lines:
         f.seek(at)
         data = f.read(min(end, size) - at)
         missing = (3 - (lines - skip) % 3) % 3
-        while data and (data.count(b"\n") < lines + missing):
+        parts, feeds = [data], data.count(b"\n")
+        while data and feeds < lines + missing:
             more = f.read(TAIL_BYTES)
             if not more:
                 break
-            data += more
+            parts.append(more)
+            feeds += more.count(b"\n")
+        data = b"".join(parts)
     own = data.split(b"\n")
     if own and own[-1] == b"":
         own.pop()
@@ -120,6 +123,7 @@ class CsfText:
     header_lines: list[str]
     total_lines: int
     records: DataFrame
+    header_missing: int = 0
 
 
 def read_header(path: str) -> list[str]:
@@ -140,15 +144,20 @@ def read_header(path: str) -> list[str]:
     return out + [""] * (HEADER_LINES - len(out))
 
 
-def read_csf_text(spark: SparkSession, path: str, range_bytes: int = DEFAULT_RANGE_BYTES, partitions: int | None = None) -> CsfText:
+def read_csf_text(spark: SparkSession, path: str, range_bytes: int = DEFAULT_RANGE_BYTES, partitions: int | None = None, lines: int | None = None) -> CsfText:
     """Scans ``path``. idx is the 0-based record number; one or two left-over lines at the end give no record.
 
     An empty file or one with only a header gives no records. A line ends at a line feed, before which one
     carriage return is dropped; a lone carriage return belongs to the line. Bytes that are not UTF-8 raise.
+    ``partitions`` sets the number of ranges; ``lines`` makes them as short as so many lines like the first ones.
     """
     size = file_size(path)
     if partitions:
         range_bytes = max(1, -(-size // partitions))
+    elif lines:
+        with _open(path) as f:
+            sample = f.read(TAIL_BYTES)
+        range_bytes = max(1, min(range_bytes, lines * len(sample) // max(1, sample.count(b"\n"))))
     n = max(1, -(-size // range_bytes))
     step = range_bytes
 
@@ -158,8 +167,8 @@ def read_csf_text(spark: SparkSession, path: str, range_bytes: int = DEFAULT_RAN
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_lines_in(path, i * step, (i + 1) * step, size) for i in ids], pa.int64())], names=["id", "lines"])
 
     counts = np.zeros(n, np.int64)
-    for i, lines in spark.range(0, n, 1, n).mapInArrow(count, "id long, lines long").collect():
-        counts[i] = lines
+    for i, held in spark.range(0, n, 1, n).mapInArrow(count, "id long, lines long").collect():
+        counts[i] = held
     first = np.concatenate([[0], np.cumsum(counts)])
 
     def records(batches):
@@ -168,4 +177,4 @@ def read_csf_text(spark: SparkSession, path: str, range_bytes: int = DEFAULT_RAN
                 yield from _records(path, i * step, (i + 1) * step, size, int(first[i]), int(counts[i]))
 
     out = spark.range(0, n, 1, n).mapInArrow(records, CSF_SCHEMA)
-    return CsfText(read_header(path), max(0, int(first[-1]) - HEADER_LINES), out)
+    return CsfText(read_header(path), max(0, int(first[-1]) - HEADER_LINES), out, max(0, HEADER_LINES - int(first[-1])))

@@ -60,9 +60,13 @@ def _quoted(text: str) -> str:
     return '"' + "".join(out) + '"'
 
 
-def write_header(path: str | Path, header_lines: list[str], stats: dict[str, int]) -> Path:
+def header_text(header_lines: list[str], stats: dict[str, int]) -> str:
+    """The header file: the first lines of the CSF text, padded to five, and the counts of the conversion."""
     lines = (header_lines + [""] * HEADER_LINES)[:HEADER_LINES]
     text = "[header_info]\nheader_lines = [\n" + "".join(f"    {_quoted(x)},\n" for x in lines) + "]\n\n[conversion_stats]\n"
-    text += "".join(f"{k} = {int(stats[k])}\n" for k in ("csf_count", "total_lines", "truncated_count"))
-    Path(path).write_text(text, encoding="utf-8")
+    return text + "".join(f"{k} = {int(stats[k])}\n" for k in ("csf_count", "total_lines", "truncated_count"))
+
+
+def write_header(path: str | Path, header_lines: list[str], stats: dict[str, int]) -> Path:
+    Path(path).write_text(header_text(header_lines, stats), encoding="utf-8")
     return Path(path)
