@@ -7,6 +7,7 @@ count, a J) is read once a batch and looked up from there.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,6 +22,8 @@ from termloom.schema import BLOCK, capacity_of
 
 SPACE = " \t\n\x0b\x0c\r"
 MATRIX_BYTES = 1 << 24
+MOST_WARNINGS = 5
+LOG = logging.getLogger("termloom")
 _INT = re.compile(r"[+-]?[0-9]+")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACE]] = True
@@ -98,6 +101,19 @@ class Describer:
         caps = [capacity_of(p) for p in self.peel.subshells]
         self.caps = None if any(g is None for g in caps) else np.array(caps, np.int64)
         self.memo: list[dict[int, int]] = [{} for _ in range(5)]
+        self.unknown = 0
+
+    def place(self, name: str) -> int:
+        """Position of a subshell in the peel list, -1 where it has none; the first few unknown names are logged."""
+        name = name.strip(SPACE)
+        at = self.peel.position.get(name, -1)
+        if at < 0 and name:
+            self.unknown += 1
+            if self.unknown <= MOST_WARNINGS:
+                LOG.warning("subshell %s is not in the peel list and is left out", name)
+            elif self.unknown == MOST_WARNINGS + 1:
+                LOG.warning("further unknown subshells are not reported")
+        return at
 
     def raw(self, lines: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """int64 (rows, N, 3) and whether each record could be described."""
@@ -137,7 +153,7 @@ class Describer:
         m3[np.arange(m3.shape[1]) >= np.where(n3 >= BLOCK, n3 - 5, n3)[:, None]] = 32
         b3 = np.where((n3 >= BLOCK)[:, None, None], _grid(m3, 4, blocks), _grid(m3, 0, blocks))
         position = self.peel.position
-        pos = _looked_up(b1[..., :5], lambda t: position.get(t.strip(SPACE), -1), self.memo[1])
+        pos = _looked_up(b1[..., :5], self.place, self.memo[1])
         pos = np.where(size >= 5, pos, position.get("", -1))
         pos = np.where(np.arange(blocks) < nb[:, None], pos, -1)
         n = np.where(size >= 8, _looked_up(b1[..., 6:8], lambda t: int_of(t.strip(SPACE)) or 0, self.memo[2]), 0)
@@ -185,6 +201,12 @@ def normalize_matrix(raw: np.ndarray, caps: np.ndarray, ok: np.ndarray) -> tuple
     return out.reshape(rows, -1).astype(np.float32), ok
 
 
+def described(d: Describer, lines: list[pa.Array]) -> list[pa.Array]:
+    """The cells of a batch, column by column."""
+    cells, _ = d.describe(lines)
+    return [pa.array(c) for c in np.ascontiguousarray(cells.T)]
+
+
 def describe_arrow(df: DataFrame, peel: Sequence[str], normalize: bool, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns and col_0 .. col_{3N-1} of a frame with line1, line2 and line3; a narrow plan."""
     columns = Peel(peel).columns
@@ -195,9 +217,7 @@ def describe_arrow(df: DataFrame, peel: Sequence[str], normalize: bool, keep: Se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Describer(peel, normalize)
         for b in batches:
-            cells, _ = d.describe([b.column(f"_line{i}") for i in (1, 2, 3)])
-            wide = np.ascontiguousarray(cells.T)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c) for c in wide)], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *described(d, [b.column(f"_line{i}") for i in (1, 2, 3)])], names=names)
 
     lines = [df[f"line{i}"].alias(f"_line{i}") for i in (1, 2, 3)]
     return df.select(*[df[c] for c in keep], *lines).mapInArrow(run, schema)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.operators.normalize import normalized_descriptor
 from termloom.operators.parse import Peel, raw_descriptor, spread
-from termloom.operators.vector import describe_arrow
+from termloom.operators.vector import Describer, described, describe_arrow
+from termloom.schema import descriptor_columns
+from termloom.sources import files
+from termloom.sources.csf_text import filesystem
 from termloom.sources.header import find_header_file, read_peel_subshells
 
 
+SLICE_ROWS = 65_536
+TASK_ROWS = 1_048_576
+
+
 def read_csf_parquet(spark: SparkSession, path: str) -> DataFrame:
     """First four columns by position as idx, line1, line2, line3; an unsigned idx becomes a bigint."""
     df = spark.read.parquet(path)
@@ -43,6 +51,85 @@ def describe_frame(df: DataFrame, peel: list[str], normalize: bool = False, keep
     return spread(out, p.orbitals, "normalized", "float", keep)
 
 
+def part_files(path: str) -> list[str]:
+    """Parquet files of a path in order of name, as the workers' file system names them."""
+    from pyarrow import fs
+
+    system, at = filesystem(path)
+    if system.get_file_info(at).is_file:
+        return [at]
+    found = system.get_file_info(fs.FileSelector(at, recursive=True))
+    names = [f.path for f in found if f.is_file and f.path.endswith(".parquet")]
+    return sorted(n for n in names if not any(x.startswith(("_", ".")) for x in n[len(at) :].split("/")))
+
+
+def _slices(spark: SparkSession, path: str, tasks: int | None) -> tuple[list[str], list[list[tuple[int, int, int, int]]]]:
+    """The files and, per task, consecutive (file, row group, first row, rows): small files come together, large row
+    groups are cut. The footers are read by a job; one row per row group comes to the driver."""
+    names = part_files(path)
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        system, _ = filesystem(path)
+        for b in batches:
+            rows = []
+            for i in b.column(0).to_pylist():
+                meta = pq.ParquetFile(system.open_input_file(names[i])).metadata
+                rows += [(i, g, meta.row_group(g).num_rows) for g in range(meta.num_row_groups)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["file", "grp", "rows"])
+
+    if not names:
+        return names, []
+    groups = sorted(tuple(r) for r in spark.range(0, len(names), 1, min(len(names), 1000)).mapInArrow(footers, "file long, grp long, rows long").collect())
+    every = sum(r for _, _, r in groups)
+    per = -(-every // tasks) if tasks else max(SLICE_ROWS, min(TASK_ROWS, -(-every // spark.sparkContext.defaultParallelism)))
+    out: list[list[tuple[int, int, int, int]]] = []
+    room = 0
+    for f, g, rows in groups:
+        at = 0
+        while at < rows:
+            if room == 0:
+                out.append([])
+                room = per
+            n = min(rows - at, room)
+            out[-1].append((f, g, at, n))
+            at, room = at + n, room - n
+    return names, out
+
+
+def describe_in_order(spark: SparkSession, path: str, peel: list[str], normalize: bool, tasks: int | None = None) -> DataFrame:
+    """Descriptors of a CSF Parquet output without idx, row for row in the order of its part files: partition k holds
+    the k-th run of rows. No shuffle; each task reads its own row groups."""
+    names, work = _slices(spark, path, tasks)
+    columns = descriptor_columns(Peel(peel).orbitals)
+    schema = T.StructType([T.StructField(c, T.FloatType() if normalize else T.IntegerType()) for c in columns])
+    if not work:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        system, _ = filesystem(path)
+        d = Describer(peel, normalize)
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                for f, g, first, rows in work[i]:
+                    source = pq.ParquetFile(system.open_input_file(names[f]))
+                    kept = source.schema_arrow.names[1:4]
+                    at = 0
+                    for part in source.iter_batches(SLICE_ROWS, row_groups=[g], columns=kept):
+                        lo, hi = max(first - at, 0), min(first + rows - at, len(part))
+                        at += len(part)
+                        if lo < hi:
+                            part = part.slice(lo, hi - lo)
+                            yield pa.RecordBatch.from_arrays(described(d, [part.column(k) for k in range(3)]), names=columns)
+                        if at >= first + rows:
+                            break
+
+    return spark.range(0, len(work), 1, len(work)).mapInArrow(run, schema)
+
+
 def generate_descriptors_from_parquet(
     input_parquet: str | Path,
     output_parquet: str | Path,
@@ -56,39 +143,39 @@ def generate_descriptors_from_parquet(
 ) -> dict:
     """Writes the descriptor table (zstd) and returns its counts; errors raise OSError or ValueError.
 
-    The output has no idx unless ``keep_idx``; rows are then in idx order over the part files, for which the
-    rows are range-partitioned. With ``keep_idx`` the plan has no shuffle.
+    The output has no idx unless ``keep_idx``; its rows are then those of the input, in the order of the part files by
+    name. Neither form has a shuffle. Input and output may be on any file system Spark and pyarrow name alike.
     """
     if num_workers is not None and num_workers <= 0:
         raise ValueError("num_workers must be greater than 0")
     spark = spark or SparkSession.builder.getOrCreate()
-    source, target = Path(input_parquet), Path(output_parquet)
-    if not source.exists():
+    source, target = str(input_parquet), str(output_parquet)
+    if not files.exists(spark, source):
         raise OSError(f"no such file: {source}")
     if peel_subshells is None:
-        found = Path(header_path) if header_path else find_header_file(source)
+        found = Path(header_path) if header_path else find_header_file(Path(source))
         if found is None:
             raise ValueError(f"no peel subshells given and no header file beside {source}")
         peel_subshells = read_peel_subshells(found)
     peel = Peel(peel_subshells)
-    records = read_csf_parquet(spark, str(source))
-    if num_workers and not single_file:
-        records = records.repartition(num_workers) if keep_idx else records
-    if not keep_idx:
-        records = (records.repartitionByRange(num_workers, "idx") if num_workers else records.repartitionByRange("idx")).sortWithinPartitions("idx")
+    records = read_csf_parquet(spark, source)
+    if keep_idx:
+        records = records.repartition(num_workers) if num_workers and not single_file else records
+        out = describe_frame(records, peel_subshells, normalize)
+    else:
+        out = describe_in_order(spark, source, peel.subshells, normalize, num_workers)
     seen = Observation()
-    out = describe_frame(records, peel_subshells, normalize).observe(seen, F.count(F.lit(1)).alias("csf_count"))
-    out = out if keep_idx else out.drop("idx")
+    out = out.observe(seen, F.count(F.lit(1)).alias("csf_count"))
     try:
-        (out.coalesce(1) if single_file else out).write.mode("overwrite").option("compression", "zstd").parquet(str(target))
+        (out.coalesce(1) if single_file else out).write.mode("overwrite").option("compression", "zstd").parquet(target)
     except Exception as e:
-        shutil.rmtree(target, ignore_errors=True)
+        files.delete(spark, target)
         raise OSError(f"cannot write descriptors to {target}: {e}") from e
     n = seen.get["csf_count"]
     return {
         "success": True,
-        "input_file": str(source),
-        "output_file": str(target),
+        "input_file": source,
+        "output_file": target,
         "csf_count": n,
         "descriptor_count": n,
         "orbital_count": peel.orbitals,

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from tests.sample import NORMAL, PEEL, RAW, RECORDS, record
 from termloom.operators.normalize import batch_normalize, bounds_long, normalized_descriptor, target_two_j
 from termloom.operators.parse import Peel, raw_descriptor, unknown_blocks
-from termloom.plans.describe import describe_frame
+from termloom.operators.vector import Describer
+from termloom.plans.compare import positioned
+from termloom.plans.describe import describe_frame, generate_descriptors_from_parquet
 from termloom.schema import CSF_SCHEMA
 
 ENGINES = ["arrow", "columns"]
@@ -140,3 +142,23 @@ def test_bounds(spark):
     df = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 2, 6), ("a", 2, 0, 4), ("b", 0, 3, 6)], "k string, pos int, n int, g int")
     got = {(r.k, r.pos): (r.u, r.prefix_bound, r.suffix_bound) for r in bounds_long(df, "k", "pos", "n", "g").collect()}
     assert got == {("a", 0): (1, 1, 8), ("a", 1): (8, 9, 0), ("a", 2): (0, 9, 0), ("b", 0): (9, 9, 0)}
+
+
+def test_output_keeps_the_order_of_its_input(spark, tmp_path):
+    """Several part files and row groups, idx in no order: rows come out as they lie, by position."""
+    records = [(i, *RECORDS[i % len(RECORDS)]) for i in (7, 3, 9, 1, 0, 2, 8, 5, 4, 6, 11, 10)]
+    df = spark.createDataFrame(records, "idx long, line1 string, line2 string, line3 string").coalesce(1)
+    df.write.option("maxRecordsPerFile", 5).parquet(f"{tmp_path}/in")
+    for workers in (None, 1, 4, 50):
+        stats = generate_descriptors_from_parquet(f"{tmp_path}/in", f"file:{tmp_path}/out{workers}", PEEL, num_workers=workers, spark=spark)
+        assert stats["csf_count"] == len(records)
+        got = [list(r)[1:] for r in positioned(spark, f"{tmp_path}/out{workers}").orderBy("idx").select("idx", *[f"col_{k}" for k in range(3 * len(PEEL))]).collect()]
+        want = {r["idx"]: list(r)[1:] for r in describe_frame(df, PEEL).collect()}
+        assert got == [want[i] for i, *_ in records]
+
+
+def test_unknown_names_are_reported_a_few_times(caplog):
+    d = Describer(["5s"], False)
+    for k in range(9):
+        d.place(f"{k}x ")
+    assert [r.getMessage()[:10] for r in caplog.records].count("subshell 0") == 1 and len(caplog.records) == 6
