@@ -78,9 +78,10 @@ def _matrix(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     width = int(lengths.max(initial=0))
     if width == 0:
         return np.full((len(lengths), 1), 32, np.uint8), np.zeros(len(lengths), np.int64)
-    at = np.arange(width)
-    inside = at < lengths[:, None]
-    m = np.where(inside, data[np.minimum(starts[:, None] + at, len(data) - 1)], 32).astype(np.uint8)
+    at = np.arange(width, dtype=np.int32)
+    small = np.int32 if len(data) + width < 2**31 else np.int64
+    m = np.take(data, starts.astype(small)[:, None] + at, mode="clip")
+    np.putmask(m, at >= lengths.astype(np.int32)[:, None], 32)
     ink = ~_IS_SPACE[m]
     return m, np.where(ink.any(1), width - ink[:, ::-1].argmax(1), 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,7 +20,9 @@ from termloom.sources.csf_text import filesystem
 from termloom.sources.header import find_header_file, read_peel_subshells
 
 
-SLICE_ROWS = 65_536
+SLICE_ROWS = 16_384
+GROUP_ROWS = 131_072
+ZSTD_LEVEL = 3
 TASK_ROWS = 1_048_576
 
 
@@ -98,36 +101,67 @@ def _slices(spark: SparkSession, path: str, tasks: int | None) -> tuple[list[str
     return names, out
 
 
-def describe_in_order(spark: SparkSession, path: str, peel: list[str], normalize: bool, tasks: int | None = None) -> DataFrame:
-    """Descriptors of a CSF Parquet output without idx, row for row in the order of its part files: partition k holds
-    the k-th run of rows. No shuffle; each task reads its own row groups."""
+def describe_in_order(spark: SparkSession, path: str, target: str, peel: list[str], normalize: bool, tasks: int | None = None) -> int:
+    """Writes the descriptors of a CSF Parquet output without idx, row for row in the order of its part files, and gives
+    the number of rows. No shuffle: each task reads its own row groups and writes one part, column by column.
+
+    A part is first written under a name of its own attempt; only the parts that finished tasks report are moved into
+    place, so a lost executor or a second attempt leaves no part twice and no torn one.
+    """
+    system, root = filesystem(target)
+    if not files.exists(spark, files.parent(target)):
+        raise OSError(f"no such directory: {files.parent(target)}")
     names, work = _slices(spark, path, tasks)
     columns = descriptor_columns(Peel(peel).orbitals)
-    schema = T.StructType([T.StructField(c, T.FloatType() if normalize else T.IntegerType()) for c in columns])
-    if not work:
-        return spark.createDataFrame([], schema)
+    cell = pa.float32() if normalize else pa.int32()
+    schema = pa.schema([pa.field(c, cell) for c in columns])
+    held = f"{root}/_temporary"
+    files.delete(spark, target)
+    system.create_dir(held, recursive=True)
+    options = {"compression": "zstd", "compression_level": ZSTD_LEVEL, "use_dictionary": True}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        system, _ = filesystem(path)
+        (here, _), (there, _) = filesystem(path), filesystem(target)
         d = Describer(peel, normalize)
         for b in batches:
             for i in b.column(0).to_pylist():
-                for f, g, first, rows in work[i]:
-                    source = pq.ParquetFile(system.open_input_file(names[f]))
-                    kept = source.schema_arrow.names[1:4]
-                    at = 0
-                    for part in source.iter_batches(SLICE_ROWS, row_groups=[g], columns=kept):
-                        lo, hi = max(first - at, 0), min(first + rows - at, len(part))
-                        at += len(part)
-                        if lo < hi:
-                            part = part.slice(lo, hi - lo)
-                            yield pa.RecordBatch.from_arrays(described(d, [part.column(k) for k in range(3)]), names=columns)
-                        if at >= first + rows:
-                            break
-
-    return spark.range(0, len(work), 1, len(work)).mapInArrow(run, schema)
+                name, n, kept_back = f"part-{i:08d}-{uuid.uuid4().hex}.zstd.parquet", 0, []
+                with there.open_output_stream(f"{held}/{name}") as raw, pq.ParquetWriter(raw, schema, **options) as out:
+                    for f, g, first, rows in work[i]:
+                        source = pq.ParquetFile(here.open_input_file(names[f]))
+                        kept = source.schema_arrow.names[1:4]
+                        at = 0
+                        for part in source.iter_batches(SLICE_ROWS, row_groups=[g], columns=kept):
+                            lo, hi = max(first - at, 0), min(first + rows - at, len(part))
+                            at += len(part)
+                            if lo < hi:
+                                part = part.slice(lo, hi - lo)
+                                kept_back.append(pa.RecordBatch.from_arrays(described(d, [part.column(k) for k in range(3)]), schema=schema))
+                                n += len(part)
+                                if sum(map(len, kept_back)) >= GROUP_ROWS:
+                                    out.write_table(pa.Table.from_batches(kept_back))
+                                    kept_back = []
+                            if at >= first + rows:
+                                break
+                    if kept_back:
+                        out.write_table(pa.Table.from_batches(kept_back))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "rows"])
+
+    if work:
+        done = spark.range(0, len(work), 1, len(work)).mapInArrow(run, "name string, rows long").collect()
+    else:
+        import pyarrow.parquet as pq
+
+        with system.open_output_stream(f"{held}/part-0.zstd.parquet") as raw, pq.ParquetWriter(raw, schema, **options):
+            done = [("part-0.zstd.parquet", 0)]
+    for name, _ in done:
+        system.move(f"{held}/{name}", f"{root}/{name}")
+    system.delete_dir(held)
+    with system.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+    return sum(n for _, n in done)
 
 
 def generate_descriptors_from_parquet(
@@ -159,19 +193,21 @@ def generate_descriptors_from_parquet(
         peel_subshells = read_peel_subshells(found)
     peel = Peel(peel_subshells)
     records = read_csf_parquet(spark, source)
-    if keep_idx:
-        records = records.repartition(num_workers) if num_workers and not single_file else records
-        out = describe_frame(records, peel_subshells, normalize)
-    else:
-        out = describe_in_order(spark, source, peel.subshells, normalize, num_workers)
-    seen = Observation()
-    out = out.observe(seen, F.count(F.lit(1)).alias("csf_count"))
     try:
-        (out.coalesce(1) if single_file else out).write.mode("overwrite").option("compression", "zstd").parquet(target)
+        if keep_idx or single_file:
+            # one file: rows in one task, in the order of the scan's idx
+            records = records.repartition(num_workers) if num_workers and not single_file else records
+            records = records.coalesce(1).sortWithinPartitions("idx") if single_file else records
+            seen = Observation()
+            out = describe_frame(records, peel_subshells, normalize).observe(seen, F.count(F.lit(1)).alias("csf_count"))
+            out = out if keep_idx else out.drop("idx")
+            out.write.mode("overwrite").option("compression", "zstd").parquet(target)
+            n = seen.get["csf_count"]
+        else:
+            n = describe_in_order(spark, source, target, peel.subshells, normalize, num_workers)
     except Exception as e:
         files.delete(spark, target)
         raise OSError(f"cannot write descriptors to {target}: {e}") from e
-    n = seen.get["csf_count"]
     return {
         "success": True,
         "input_file": source,
