@@ -27,7 +27,7 @@ BLOCK_ROWS = 16_384
 QUERY_TILE, CANDIDATE_TILE, SEED_ROWS = 256, 2_048, 1_024
 PAIRS = 200_000
 DIMENSIONS = (24, 40, 60)
-ABANDON_LEVEL = 1e-3
+ABANDON_LEVELS = (8e-4, 1e-4, 1e-4)
 INDEXED = "idx long, vec binary, leaf int, away double"
 
 
@@ -127,8 +127,8 @@ def fit(sample: np.ndarray, rows: int, exact: bool = False) -> Index:
             sums = diff.cumsum(1)[:, [e - 1 for e in ends]]
             ratios.append(sums[whole > 0] / whole[whole > 0, None])
     ratio = np.concatenate(ratios) if ratios else np.zeros((0, len(ends)))
-    # the tests share the level: together they lose a neighbour as often as one test of that level would
-    shares = np.minimum(1.0, np.quantile(ratio, 1 - ABANDON_LEVEL / len(ends), axis=0)) if len(ratio) else np.ones(len(ends))
+    # together the tests lose a neighbour as if once in a thousand; the first, which spares most, has most of that
+    shares = np.array([min(1.0, np.quantile(r, 1 - level)) for r, level in zip(ratio.T, ABANDON_LEVELS)] if len(ratio) else [1.0] * len(ends))
     return Index(rotation, centroids, ends, tuple(shares.tolist()))
 
 
