@@ -109,6 +109,37 @@ SELECT t.idx, t.run_id, {", ".join(f"coalesce(col_{k}, 0)::INT AS col_{k}" for k
 ORACLES["csf_descriptors"] = _csf_raw_cells()
 
 
+def _csf_normalized_cells() -> str:
+    """The normalization over lists of the raw cells; a row whose electrons or target are out of range is zeros."""
+    lists = ", ".join(f"[{', '.join(f'col_{3 * i + f}' for i in range(29))}] AS {'nqj'[f]}" for f in range(3))
+    cells = []
+    for i in range(1, 30):
+        cells += [f"n[{i}]::DOUBLE / g[{i}]", f"CASE WHEN u[{i}] = 0 THEN 0 ELSE q[{i}]::DOUBLE / u[{i}] END", f"CASE WHEN least(p[{i}], t + tot - p[{i}]) = 0 THEN 0 ELSE j[{i}]::DOUBLE / least(p[{i}], t + tot - p[{i}]) END"]
+    return f"""WITH raw AS ({_csf_raw_cells()}),
+caps AS (SELECT list(m.g ORDER BY p.pos) AS g FROM peel p JOIN subshell_meta m ON rpad(ltrim(p.subshell, '0123456789'), 2, ' ') = m.angular),
+a AS (SELECT idx, run_id, {lists}, g FROM raw, caps),
+b AS (SELECT *, list_transform(range(1, 30), lambda i: n[i] * (g[i] - n[i])) AS u, coalesce(j[list_max(list_filter(range(1, 30), lambda i: n[i] > 0))], 0) AS t,
+ len(list_filter(range(1, 30), lambda i: n[i] < 0 OR n[i] > g[i])) = 0 AS ok FROM a),
+c AS (SELECT *, list_transform(range(1, 30), lambda i: list_sum(u[1:i])::BIGINT) AS p, list_sum(u)::BIGINT AS tot FROM b)
+SELECT idx, run_id, {", ".join(f"(CASE WHEN ok AND t >= 0 THEN {x} ELSE 0 END)::FLOAT AS col_{k}" for k, x in enumerate(cells))} FROM c"""
+
+
+ORACLES["csf_descriptors_normalized"] = _csf_normalized_cells()
+_EVERY = ", ".join(f"col_{k}" for k in range(87))
+ORACLES["csf_descriptor_range"] = f"""WITH d AS ({_csf_normalized_cells()}) SELECT min(least({_EVERY})) AS min_value, max(greatest({_EVERY})) AS max_value,
+ sum({" + ".join(f"(col_{k} > 1.000001)::INT" for k in range(87))})::BIGINT AS cells_above, sum({" + ".join(f"(col_{k} < -0.000001)::INT" for k in range(87))})::BIGINT AS cells_below FROM d"""
+ORACLES["described_in_order"] = f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, * EXCLUDE (idx) FROM ({_normalized()})"
+# blocks of 9 characters; line3 is two longer than the others, so five blocks pass 40 characters in all three lines
+ORACLES["converted_counts"] = f"""WITH {ORBITALS}, b AS (SELECT l_orderkey, count(*) AS nb FROM orb GROUP BY 1)
+SELECT count(*)::BIGINT AS csf_count, (3 * count(*))::BIGINT AS total_lines, (3 * count(*) FILTER (nb >= 5))::BIGINT AS truncated_count FROM b"""
+_CHANGED = [k for k in range(64) if k % 3]
+_DIFFERS = f"greatest({', '.join(f'abs(col_{k} - n_{k})' for k in range(64))})"
+ORACLES["descriptor_samples"] = f"""WITH e AS (SELECT vec_id, {_EMB}, {_ROUND} FROM embeddings)
+SELECT vec_id AS idx, {", ".join(f"col_{k} AS o_col_{k}, n_{k} AS n_col_{k}" for k in _CHANGED[:8])} FROM e WHERE {_DIFFERS} > 1e-6 ORDER BY vec_id LIMIT 10"""
+ORACLES["descriptor_rows_unequal"] = f"""WITH e AS (SELECT {_EMB}, {_ROUND} FROM embeddings), n AS (SELECT count(*)::BIGINT AS n FROM e WHERE {_DIFFERS} > 0)
+SELECT side, n FROM n, (VALUES ('old'), ('new')) s(side) WHERE n > 0"""
+ORACLES["descriptor_overall_max"] = f"WITH e AS (SELECT {_EMB}, {_ROUND} FROM embeddings) SELECT max({_DIFFERS}) AS max_abs_diff FROM e"
+
 CELLS = [f"col_{k}" for k in range(87)]
 _J = "(?:[0-9]*[13579]/2|[0-9]+)"
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'

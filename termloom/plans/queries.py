@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import angular_label, capacity, is_ascii, is_too_long, kappa_squared, occupation_fraction, truncate_line, two_j
@@ -15,7 +16,9 @@ from termloom.operators.parse import Peel, raw_descriptor, unknown_blocks
 from termloom.operators.profile import ValueCounts, delta, metrics, parity_fields, spoiled_columns, triplet_limits
 from termloom.operators.reconcile import reconcile
 from termloom.operators.rejects import load_records, reason_counts, rejected_records, valid_records
-from termloom.plans.describe import describe_frame
+from termloom.plans.compare import positioned
+from termloom.plans.convert import convert_csfs
+from termloom.plans.describe import describe_frame, generate_descriptors_from_parquet
 from termloom.schema import CAPACITY, capacity_of
 from termloom.session import checked_rows, shared_dir
 from termloom.sources.header import peel_tokens
@@ -198,34 +201,64 @@ def unknown_subshell_counts(spark: SparkSession, sf: str) -> DataFrame:
     return unknown_blocks(order_records(spark, sf), Peel([p for p in PEEL if p not in ("5p", "4f-")])).select("subshell", F.col("n_blocks").cast("long").alias("n_blocks"))
 
 
-def full_pipeline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Order records written as one CSF text, converted, described and read back, with the order key put back."""
-    import os
+def _orders_text(spark: SparkSession, sf: str) -> str:
+    """Order records as one CSF text in the shared folder, in order of the key; the folder's path. Fixed-width text of
+    one file is what the conversion takes, so one task writes it."""
     import uuid
 
-    from termloom.plans.convert import convert_csfs
-    from termloom.plans.describe import generate_descriptors_from_parquet
-    from termloom.session import shared_dir
-
-    base = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:').rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-    os.makedirs(base)
-    body = order_records(spark, sf).orderBy("idx").select(F.concat_ws("\n", "line1", "line2", "line3").alias("value"))
-    head = ["Core subshells:", " ", "Peel subshells:", "  " + "  ".join(PEEL), "CSF(s):"]
-    (body.coalesce(1).write.option("lineSep", "\n").text(f"{base}/text"))
-    part = next(f"{base}/text/{f}" for f in sorted(os.listdir(f"{base}/text")) if f.startswith("part-"))
-    with open(f"{base}/orders.csf", "wb") as out, open(part, "rb") as f:
-        out.write(("\n".join(head) + "\n").encode())
-        while chunk := f.read(1 << 24):
-            out.write(chunk)
-    done = convert_csfs(f"{base}/orders.csf", f"{base}/orders.parquet", spark=spark)
+    base = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:').rstrip('/')}/orders-{uuid.uuid4().hex}"
+    head = spark.createDataFrame([(i, x) for i, x in enumerate(["Core subshells:", " ", "Peel subshells:", "  " + "  ".join(PEEL), "CSF(s):"], -5)], "at long, value string")
+    body = order_records(spark, sf).select(F.col("idx").alias("at"), F.concat_ws("\n", "line1", "line2", "line3").alias("value"))
+    text = head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value")
+    text.write.option("lineSep", "\n").text(f"{base}/text")
+    return base
+
+
+def _converted(spark: SparkSession, sf: str, **options) -> tuple[str, dict]:
+    base = _orders_text(spark, sf)
+    part = next(f for f in sorted(os.listdir(f"{base}/text")) if f.startswith("part-"))
+    done = convert_csfs(f"{base}/text/{part}", f"{base}/orders.parquet", spark=spark, **options)
     if not done["success"]:
         raise RuntimeError(done["error"])
+    return base, done
+
+
+def full_pipeline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Order records written as one CSF text, converted, described and read back, with the order key put back."""
+    base, _ = _converted(spark, sf)
     generate_descriptors_from_parquet(f"{base}/orders.parquet", f"{base}/described.parquet", PEEL, normalize=True, spark=spark, keep_idx=True)
-    keys = order_records(spark, sf).select("idx").orderBy("idx")
-    numbered = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("order_key long, idx long")
+    keys = table(spark, sf, "lineitem").select("l_orderkey").distinct()
+    numbered = keys.select(F.col("l_orderkey").alias("order_key"), (F.row_number().over(Window.orderBy("l_orderkey")) - 1).cast("long").alias("idx"))
     return numbered.join(spark.read.parquet(f"{base}/described.parquet"), "idx").drop("idx").withColumnRenamed("order_key", "idx")
 
 
+def described_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The default output, which has no idx: rows by their position over the part files."""
+    base, _ = _converted(spark, sf, chunk_size=3_000)
+    generate_descriptors_from_parquet(f"{base}/orders.parquet", f"{base}/described.parquet", PEEL, normalize=True, spark=spark)
+    return positioned(spark, f"{base}/described.parquet")
+
+
+def converted_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the conversion itself returns, with lines cut at 40 characters."""
+    _, done = _converted(spark, sf, max_line_len=40)
+    return spark.createDataFrame([tuple(done[c] for c in ("csf_count", "total_lines", "truncated_count"))], "csf_count long, total_lines long, truncated_count long")
+
+
+def descriptor_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """First ten differing rows with the first eight changed columns."""
+    return compare.samples(*_pair(spark, sf))
+
+
+def descriptor_rows_unequal(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact comparison: rows of each side that the other lacks."""
+    return compare.rows_unequal(*_pair(spark, sf)).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def descriptor_overall_max(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.overall_max(*_pair(spark, sf))
+
+
 def parquet_info(spark: SparkSession, sf: str) -> DataFrame:
     info = get_parquet_info(f"{sf}/lineitem.parquet")
     return spark.createDataFrame([(info["num_rows"], info["num_columns"])], "num_rows long, num_columns long")
@@ -339,6 +372,11 @@ QUERIES: dict[str, Query] = {
     "descriptor_diff_rows": descriptor_diff_rows,
     "unknown_subshell_counts": unknown_subshell_counts,
     "full_pipeline_roundtrip": full_pipeline_roundtrip,
+    "described_in_order": described_in_order,
+    "converted_counts": converted_counts,
+    "descriptor_samples": descriptor_samples,
+    "descriptor_rows_unequal": descriptor_rows_unequal,
+    "descriptor_overall_max": descriptor_overall_max,
     "parquet_info": parquet_info,
     "csf_descriptors": csf_descriptors,
     "csf_descriptors_normalized": csf_descriptors_normalized,
