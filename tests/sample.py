@@ -1,5 +1,6 @@
 """A CSF text retyped for the tests: header and records given as numbers, rendered on the fixed grid."""
 
+# The peel list, header, records and descriptors that a description must reproduce.
 PEEL = "5s 4d- 4d 5p- 5p 6s 4f- 4f 5d- 5d 6p- 6p 7s 5f- 5f 6d- 6d 7p- 7p 8s 5g- 5g 6f- 6f 7d- 7d 8p- 8p 9s".split()
 HEADER = ["Core subshells:", "  1s   2s   2p-  2p", "Peel subshells:", "  " + "  ".join(PEEL), "CSF(s):"]
 CORE = [("5s", 2), ("4d-", 4), ("4d", 6), ("5p-", 2), ("5p", 4), ("6s", 2)]
